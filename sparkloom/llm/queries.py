@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, cross_parse, decontaminate, interpolated_lm, pii, range_coder, scaled_sketch, token_group_join, url_trie
+from . import bpe_stream, cross_parse, decontaminate, interpolated_lm, pii, range_coder, scaled_sketch, suffix_merge, token_group_join, url_trie
 from .store import table
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -45,6 +45,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_group_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), url_trie.UrlTrie(RULES))
 
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse.identify(docs, samples, F.col("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_interpolated_lm, op2_id_files, op3_benchmark_decontamination, op4_pii, op5_bpe_round_trip, op6_document_fingerprints, op7_jaccard_join, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_interpolated_lm, op2_id_files, op3_benchmark_decontamination, op4_pii, op5_bpe_round_trip, op6_document_fingerprints, op7_jaccard_join, op8_suffix_dedup, op9_url_filter, op10_language_id)}
 
 _HOST = "translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
