@@ -119,21 +119,24 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return places[start], places[end - 1] + 1
 
 
-def contaminated(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_000_000, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """A row (doc_id, item_id, distance, start, end) for each document and item it holds; start and end are code points of the text."""
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull())
-    groups: list[list[tuple[int, str]]] = [[]]
+def _groups(items: DataFrame, max_items_chars: int) -> list[list[tuple[int, str]]]:
+    """The items, in lists of bounded size."""
+    out: list[list[tuple[int, str]]] = [[]]
     size = 0
-    for r in rows.toLocalIterator():
-        if size + len(r[1]) > max_items_chars and groups[-1]:
-            groups.append([])
+    for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+        if size + len(r[1]) > max_items_chars and out[-1]:
+            out.append([])
             size = 0
-        groups[-1].append((r[0], r[1]))
+        out[-1].append((r[0], r[1]))
         size += len(r[1])
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_000_000, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """A row (doc_id, item_id, distance, start, end) for each document and item it holds; start and end are code points of the text."""
     out = None
     schema = StructType([docs.schema["doc_id"], items.schema["item_id"]]).add("distance", IntegerType()).add("start", LongType()).add("end", LongType())
-    arrow = [None, None]
-    for group in groups:
+    for group in _groups(items, max_items_chars):
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -144,9 +147,23 @@ def contaminated(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_00
                     for item, distance, start, end in known.find(normal(text)) if text else ():
                         for column, v in zip(found, (doc, item, distance, *original_span(text, start, end)), strict=True):
                             column.append(v)
-                yield pa.record_batch([pa.array(found[0], b.schema.field(0).type), pa.array(found[1]).cast(pa.int64()) if not found[1] else pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
+                yield pa.record_batch([pa.array(found[0], b.schema.field(0).type), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    del arrow
     return out
+
+
+def clean(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_000_000, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """The rows of docs that hold no item; a pass over the documents, no shuffle."""
+    for group in _groups(items, max_items_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = Items(shared.value, chars_per_edit)
+            for b in batches:
+                at = b.schema.get_field_index("text")
+                yield b.filter(pa.array([not (t and known.find(normal(t))) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
