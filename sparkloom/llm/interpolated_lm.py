@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 from .store import partitions, saved
 
-CHUNK_CHARS, PAIR_BITS, BUCKETS, GRID = 16_000_000, 48, 24, 4
+CHUNK_CHARS, PAIR_BITS, BUCKETS, GRID = 6_000_000, 48, 24, 4
 CHUNK = "chunk bigint, doc_ids array<bigint>, train array<boolean>, lens array<bigint>, words binary, tokens binary"
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 
