@@ -3,12 +3,14 @@
 A document's set holds its distinct word shingles. Two documents link when 100 x intersection >= percent x union.
 
 1. Equal sets become one class, whose least doc_id stands for it.
-2. Classes that share a min-hash are compared with the least class of that min-hash only; verified links partition classes into groups of similar documents.
+2. Classes that share min-hashes are compared with the least class of each min-hash only, which gives first links; half of the min-hashes
+   in common puts them in one group of similar documents, linked or not.
 3. Every class' rarest shingles (so many that two linked classes must share one, however the order is chosen) point at the groups that may
    hold a partner. A corpus-wide count sketch of fixed size orders shingles, so common passages come last; the order only affects cost.
 4. Of two such groups the larger is opened for the classes of the smaller: its chunks keep the union of their members' shingles; a query whose overlap
    with the union cannot reach percent of its own size is turned away, others count their overlap with all members in one pass over the matrix.
-No pairs are formed within a group, and none of different texts are lost.
+   Within a group, the classes outside its largest set of linked ones ask all its chunks likewise.
+No pairs are formed within a group, and no link between different texts is lost.
 
 Null, empty and white-space texts have an empty set, link with nothing and are their own component. A text of fewer words than a shingle has one shingle.
 Rows that share a doc_id are one document with the links of all its texts; each row is returned.
@@ -29,7 +31,7 @@ from .components import components
 from .packing import mix, pack, unpack
 from .store import saved
 
-SLOT_BITS, HASHES, AGREE, CHUNK, CACHED = 20, 8, 2, 256, 1 << 19
+SLOT_BITS, HASHES, AGREE, ALIKE, CHUNK, CACHED = 20, 8, 2, 4, 256, 1 << 19
 _BLOCKS = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -156,7 +158,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> D
 
 
 def _opened(queries: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """A link (a, b) for each query (grp, chunk, doc_id, text) that links to a member of its chunk."""
+    """Links (a, b) of the queries (grp, chunk, doc_id, comp, text) to members of their chunk: one for each other set of linked classes met."""
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, size) for t in held["text"]]
@@ -168,8 +170,8 @@ def _opened(queries: DataFrame, members: DataFrame, size: int, percent: int) ->
             union, first = np.unique(flat[order], return_index=True)  # the group's row of the matrix
             first, owner = np.append(first, len(flat)), owner[order]
             sizes = np.array([len(s) for s in sets])
-            ids = held["doc_id"].to_numpy()
-            for doc, text in zip(asked["doc_id"], asked["text"], strict=True):
+            ids, comps = held["doc_id"].tolist(), held["comp"].tolist()
+            for doc, own, text in zip(asked["doc_id"], asked["comp"], asked["text"], strict=True):
                 q = shingles(text, size)
                 at = np.searchsorted(union, q)
                 at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == q)]
@@ -179,11 +181,10 @@ def _opened(queries: DataFrame, members: DataFrame, size: int, percent: int) ->
                 where = np.repeat(first[at] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
                 common = np.bincount(owner[where], minlength=len(sets))
                 ok = np.flatnonzero(100 * common >= percent * (sizes + len(q) - common))
-                if len(ok):
-                    found.append((doc, ids[ok[0]]))
+                found += [(doc, b) for c, b in {comps[i]: ids[i] for i in ok.tolist()}.items() if c != own]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return queries.groupBy("grp", "chunk").cogroup(members.toDF("grp", "chunk", "doc_id", "text").groupBy("grp", "chunk")).applyInPandas(run, "a bigint, b bigint")
+    return queries.groupBy("grp", "chunk").cogroup(members.toDF("grp", "chunk", "doc_id", "comp", "text").groupBy("grp", "chunk")).applyInPandas(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -196,11 +197,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # 2. groups of similar classes
     hashed = classes.select("rep", F.posexplode("least").alias("pos", "hash"))
     leader = hashed.groupBy("pos", "hash").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    pairs = hashed.join(leader, ["pos", "hash"]).where("rep != lead").groupBy("rep", "lead").agg(F.count("*").alias("m")).where(F.col("m") >= AGREE)
-    close = saved(_verified(pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")), docs, size, percent), "links")
-    grouped = components(close)
+    pairs = saved(hashed.join(leader, ["pos", "hash"]).where("rep != lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("m")).where(F.col("m") >= AGREE), "pairs")
+    close = saved(_verified(pairs.select("a", "b"), docs, size, percent), "links")
+    linked_, alike = components(close), components(pairs.where(F.col("m") >= ALIKE).select("a", "b").unionByName(close))
     reps = classes.select("rep").distinct()
-    groups = saved(reps.join(grouped, reps["rep"] == grouped["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp")), "groups")
+    groups = reps.join(linked_.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").join(alike.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep", "left")
+    groups = saved(groups.select("rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("grp", "rep").alias("grp")), "groups")
 
     # 3. which groups may hold partners
     rare = _prefixes(docs, _levels(sigs), size, percent).join(groups, F.col("doc_id") == F.col("rep"))
@@ -215,12 +217,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     swap = F.col("my") > F.col("mx")
     may = saved(may.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("grp"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("asks"), F.greatest("mx", "my").alias("m")), "opened")
     single = _verified(may.where("m = 1").select(F.col("grp").alias("a"), F.col("asks").alias("b")), docs, size, percent)
-    many = may.where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    asks = groups.select(F.col("rep").alias("doc_id"), F.col("grp").alias("asks"))
-    queries = many.join(asks, "asks").select("grp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(text, "doc_id")
-    held = groups.join(many.select("grp", "chunks").distinct(), "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.col("rep").alias("doc_id")).join(text, "doc_id")
-    far = _opened(queries.select("grp", "chunk", "doc_id", "text"), held.select("grp", "chunk", "doc_id", "text"), size, percent)
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")
+    across = may.where("m > 1").select("grp", "asks", chunks).join(groups.select(F.col("rep").alias("doc_id"), "comp", F.col("grp").alias("asks")), "asks").select("grp", "doc_id", "comp", "chunks")
+    main = groups.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("m")).where("parts > 1")
+    within = groups.join(main, "grp").where("comp != main").select("grp", F.col("rep").alias("doc_id"), "comp", chunks)
+    asked = saved(across.unionByName(within), "asked")
+    queries = asked.select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "comp").join(text, "doc_id")
+    held = groups.join(asked.select("grp", "chunks").distinct(), "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.col("rep").alias("doc_id"), "comp").join(text, "doc_id")
+    far = _opened(queries.select("grp", "chunk", "doc_id", "comp", "text"), held.select("grp", "chunk", "doc_id", "comp", "text"), size, percent)
 
     # components of the documents
     member = full.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).select("doc_id", "rep", "n")
