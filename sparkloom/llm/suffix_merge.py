@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 from .store import partitions, saved
 
-LENGTH, SEED, KEY_BITS, FLUSH = 50, 20, 48, 1 << 20
+LENGTH, SEED, KEY_BITS, FLUSH = 50, 20, 48, 1 << 19
 LEFT = LENGTH - SEED
 _P = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -98,7 +98,7 @@ def _shared_seeds(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": d[several], "key": k[several].view(np.int64)})
 
     sent = docs.mapInArrow(send, "bucket int, keys binary, docs binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "doc_id bigint, key bigint").distinct().groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    return sent.groupBy("bucket").applyInPandas(meet, "doc_id bigint, key bigint").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def front_code(suffixes: list[bytes]) -> bytes:
@@ -191,7 +191,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
 def _runs(rows: DataFrame) -> DataFrame:
     """Front-coded sorted runs of the suffixes at shared seeds: bucket, run, docs, places, left."""
-    n = partitions(rows.sparkSession)
+    n = 4 * partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int, int, bytes]] = []
@@ -217,7 +217,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                 chosen = np.isin(key, np.array(keys, np.int64).view(np.uint64))
                 for a, k in zip(at[chosen].tolist(), _bucket(key[chosen], n).tolist(), strict=True):
                     held.append((k, data[a : a + LENGTH], doc, a, data[max(0, a - LEFT) : a]))
-                if len(held) >= FLUSH // 4:
+                if len(held) >= FLUSH // 8:
                     yield flush()
                     held = []
         if held:
@@ -233,28 +233,34 @@ def _judge(stretch: list[tuple[bytes, bytes, int, int]], out: list[tuple[int, in
         c = (left, right)
         if doc < least.get(c, 1 << 63):
             least[c] = doc
-    if len({s[2] for s in stretch}) < 2:
-        return
-    owner: dict[bytes, int] = {}
-    for (left, right), doc in least.items():
-        whole, n = left + right, len(left)
-        for l in range(max(0, LENGTH - len(right)), n + 1):  # noqa: E741
-            w = (l, whole[n - l : n - l + LENGTH])
-            if doc < owner.get(w, 1 << 63):
-                owner[w] = doc
+    met: dict[tuple[bytes, bytes], list[int]] = {}
+    if len(least) > 1:
+        # one left length at a time; a context's first document meets smaller ones in the strings it shares with other contexts
+        for l in range(LEFT + 1):  # noqa: E741
+            part = [(c, (c[0] + c[1])[len(c[0]) - l : len(c[0]) - l + LENGTH], doc) for c, doc in least.items() if l <= len(c[0]) and l + len(c[1]) >= LENGTH]
+            owner: dict[bytes, int] = {}
+            for _, w, doc in part:
+                if doc < owner.get(w, 1 << 63):
+                    owner[w] = doc
+            if len(owner) < len(part):
+                for c, w, doc in part:
+                    if owner[w] < doc:
+                        met.setdefault(c, []).append(l)
     for left, right, doc, place in stretch:
-        whole, n = left + right, len(left)
-        first = None
-        for l in range(n, max(0, LENGTH - len(right)) - 1, -1):  # noqa: E741
-            if owner[l, whole[n - l : n - l + LENGTH]] < doc:
-                if first is None:
-                    first = place - l
-                last = place - l
-            elif first is not None:
-                out.append((doc, first, last))
-                first = None
-        if first is not None:
-            out.append((doc, first, last))
+        c = (left, right)
+        if doc > least[c]:  # the whole context is in a smaller document
+            shortest = max(0, LENGTH - len(right))
+            if shortest <= len(left):
+                out.append((doc, place - len(left), place - shortest))
+            continue
+        lengths = met.get(c, ())
+        i = 0
+        while i < len(lengths):
+            j = i
+            while j + 1 < len(lengths) and lengths[j + 1] == lengths[j] + 1:
+                j += 1
+            out.append((doc, place - lengths[j], place - lengths[i]))
+            i = j + 1
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
