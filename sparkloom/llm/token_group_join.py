@@ -35,7 +35,17 @@ SLOT_BITS, HASHES, AGREE, ALIKE, CHUNK, CACHED = 20, 8, 2, 4, 256, 1 << 19
 _BLOCKS = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_words: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """Hashes of words already met."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_words = _Words()
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -45,16 +55,13 @@ def shingles(text: str | None, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > CACHED:
         _words.clear()
-    known = _words
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n if n < size else 0, np.uint64)
     for k in range(n):
         out = out * _P + h[k : len(h) - n + 1 + k]
-    return np.unique(mix(out))
+    out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -68,15 +75,21 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         slots = np.zeros(1 << SLOT_BITS, np.uint32)
         names = ["doc_id", "n", "k1", "k2", "least", "block", "counts"]
         for b in batches:
-            rows = []
+            rows, met, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, size)
                 if len(s):
-                    np.add.at(slots, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                    met.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+                    held += len(s)
+                    if held >= 1 << SLOT_BITS:
+                        slots += np.bincount(np.concatenate(met), minlength=1 << SLOT_BITS).astype(np.uint32)
+                        met, held = [], 0
                     least = np.array([(s * m).min() for m in _ODD])
                     rows.append((doc, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s * _P)).view(np.int64)), least.view(np.int64).tolist()))
                 else:
                     rows.append((doc, 0, 0, 0, []))
+            if met:
+                slots += np.bincount(np.concatenate(met), minlength=1 << SLOT_BITS).astype(np.uint32)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int64())), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
         part = slots.reshape(_BLOCKS, -1)
