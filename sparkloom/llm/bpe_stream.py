@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .store import bounded_batches, worker_state
+
 _HIGH = re.compile("[\u0378-\U0010ffff]")
 STRIDE, CACHED, LONGEST_CACHED = 64, 1 << 19, 96
 
@@ -351,22 +353,18 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
-_BUILT: dict[str, WordBpe] = {}
-
-
 def round_trip(docs: DataFrame, tokenizer_path: str, *keep: Column) -> DataFrame:
     """Columns `keep` (doc_id if none), n_tokens, ids_sha256, decoded_sha256. The file is read on the driver and broadcast (its size is that of the vocabulary)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     key = hashlib.sha256(spec.encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
+    bounded_batches(docs.sparkSession)
     keep = keep or (F.col("doc_id"),)
     rows = docs.select(F.col("text").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT[key] = WordBpe(shared.value)
-        t = _BUILT[key]
+        t = worker_state(key, lambda: WordBpe(shared.value))
         for b in batches:
             got = [t.digest(x or "") for x in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])

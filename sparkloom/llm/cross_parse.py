@@ -15,10 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LANES, SYMBOLS = 512, 8192, 64
+from .store import bounded_batches, worker_state
+
+BLOCK, LANES, SYMBOLS, AT_ONCE = 512, 8192, 64, 1 << 21
 UNKNOWN, GAP, PAD = 0, 1, SYMBOLS - 1
 
 
@@ -145,7 +148,17 @@ def sample_texts(docs: DataFrame, docs_per_lang: int = 96, chars_per_doc: int =
     return {k: sorted(v) for k, v in out.items()}
 
 
-_BUILT: dict[str, CrossParser] = {}
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of AT_ONCE bytes of text together, or one longer text, so that memory follows the text and not the number of rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and held + n > AT_ONCE:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], *keep: Column) -> DataFrame:
@@ -154,17 +167,14 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *keep: Column) -> D
 
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(samples)
+    bounded_batches(docs.sparkSession)
     keep = keep or (F.col("doc_id"),)
     rows = docs.select(F.col("text").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = CrossParser(shared.value)
-        parser = _BUILT[key]
+        parser = worker_state(key, lambda: CrossParser(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for b in _slices(whole):
                 got = parser.predict(b.column(0).to_pylist())
                 yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .store import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -247,6 +249,7 @@ def join_spans(spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, *keep: Column) -> DataFrame:
     """Columns `keep` (doc_id if none), n_email .. n_phone (base spans), base_sha256, spans, n_added, redacted (null for a null text)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
     keep = keep or (F.col("doc_id"),)
     rows = docs.select(F.col("text").alias("__text"), *keep)

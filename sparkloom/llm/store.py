@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,5 +41,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches to Python workers end at a number of bytes as well as rows, as texts differ in length; a limit already set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_STATE: dict[str, object] = {}
+
+
+def worker_state[T](key: str, build: Callable[[], T]) -> T:
+    """What an operator keeps in a worker from task to task. A worker keeps that of one operator at a time, as later stages run in the same workers."""
+    if key not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        _STATE[key] = build()
+    return _STATE[key]

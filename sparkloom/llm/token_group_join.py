@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import mix, pack, unpack
-from .store import saved
+from .store import saved, worker_state
 
 SLOT_BITS, HASHES, AGREE, ALIKE, CHUNK, CACHED = 20, 8, 2, 4, 256, 1 << 19
 _BLOCKS = 64
@@ -45,17 +45,16 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHED:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_state("word hashes", _Words)
+    if len(known) > CACHED:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n if n < size else 0, np.uint64)
     for k in range(n):
