@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sqltext
-from .operators import governance, graph, traffic
+from .operators import governance, graph, traffic, workload
 from .plans import ir
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -339,6 +339,30 @@ def _q21(spark, d):
     return spark.createDataFrame([(governance.same_rows(a, b),)], "same boolean")
 
 
+_WORK = "SELECT o_orderpriority AS cluster, o_orderkey AS query, o_custkey % 5 + 1 AS weight FROM orders"
+_SUPPORT = f"SELECT p.cluster, p.feature, p.part / t.total AS support FROM (SELECT cluster, feature, sum(weight)::DOUBLE AS part FROM ({_WORK}) q JOIN (SELECT DISTINCT l_orderkey AS query, l_returnflag AS feature FROM lineitem) f ON q.query = f.query GROUP BY 1, 2) p JOIN (SELECT cluster, sum(weight) AS total FROM ({_WORK}) GROUP BY 1) t ON p.cluster = t.cluster"
+
+
+@_query("L04_feature_support", _SUPPORT)
+def _l04(spark, d):
+    return workload.feature_support(run_sql(spark, d, _WORK), run_sql(spark, d, "SELECT l_orderkey AS query, l_returnflag AS feature FROM lineitem"))
+
+
+@_query("L05_invariants", f"SELECT cluster, feature, support >= 0.8 AS invariant FROM ({_SUPPORT})")
+def _l05(spark, d):
+    return workload.invariants(_l04(spark, d))
+
+
+_TOUCH = "SELECT concat('s', l_suppkey % 20) AS a, concat('p', l_partkey % 30) AS b, CAST(l_linenumber AS BIGINT) AS weight FROM lineitem"
+
+
+@_query("L11_join_graph", f"WITH one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight) AS w FROM ({_TOUCH}) WHERE a != b GROUP BY 1, 2), n AS (SELECT node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS weighted_degree FROM (SELECT a AS node, w FROM one UNION ALL SELECT b, w FROM one) GROUP BY 1) SELECT node, degree, weighted_degree, weighted_degree / (SELECT sum(weighted_degree)::DOUBLE FROM n) AS centrality FROM n")
+def _l11(spark, d):
+    return workload.join_graph(run_sql(spark, d, _TOUCH))
+
+
+_sql("D09_retention", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'")
+
 _minimum = ir.Limit(ir.Sort(ir.Aggregate(ir.Filter(ir.Join(ir.Join(ir.Scan("customer", "c"), ir.Scan("orders", "o"), "inner", ("c.c_custkey = o.o_custkey",)), ir.Scan("lineitem", "l"), "inner", ("l.l_orderkey = o.o_orderkey",)), ("c.c_mktsegment = 'BUILDING'",)), (("o.o_orderkey", "o_orderkey"),), (("round(sum(l.l_extendedprice * (1 - l.l_discount)), 2)", "revenue"),)), ("revenue DESC", "o_orderkey")), 10)
 _plan("R01_end_to_end", _minimum, "SELECT o.o_orderkey, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey ORDER BY revenue DESC, o.o_orderkey LIMIT 10")
 
