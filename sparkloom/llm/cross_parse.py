@@ -2,7 +2,8 @@
 
 For each language a suffix automaton holds every substring of a labelled sample. A document is cut, left to right, into the
 longest phrases that occur in that sample; phrases x log2(sample length) / length is its normalised phrase count. Letters count
-without case, and each run of other characters is one gap. Documents are
+without case, and each run of other characters is one gap. Every letter of the samples has a code, whatever their scripts and number; a letter
+that a language's sample lacks ends a phrase there. Documents are
 parsed whole, in independent blocks of `BLOCK` characters so that numpy advances thousands of blocks at once; a block's end
 ends a phrase. Ties go to the language that sorts first. A null text, or one without a letter, is `und` with score 0; so is every text when
 nothing could be learned. score is 1 - best / second best. The sample is bounded by `docs_per_lang` and `chars_per_doc`, all else is counted on all rows.
@@ -10,8 +11,8 @@ nothing could be learned. score is 1 - best / second best. The sample is bounded
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, worker_state
 
-BLOCK, LANES, SYMBOLS, AT_ONCE = 512, 8192, 64, 1 << 21
-UNKNOWN, GAP, PAD = 0, 1, SYMBOLS - 1
+BLOCK, LANES, CELLS, AT_ONCE = 512, 8192, 1 << 23, 1 << 21
+UNKNOWN, GAP = 0, 1
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -55,40 +56,96 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """By code point the letter without case, -1 for other characters."""
+    out = np.full(0x110000, -1, np.int32)
+    for p in range(0x110000):
+        c = chr(p)
+        if c.isalpha():
+            out[p] = ord(c.lower()[0])
+    return out
+
+
+class Flat:
+    """A table with a row for each state: state and symbol -> next state x 2 + 1 if a phrase ended. States are row offsets."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, size: int, width: int):
+        table = np.full((size, width), -1, np.int32)
+        table[states, symbols] = to
+        ended = table < 0
+        flat = np.where(ended, np.maximum(table[0], 0), table) * width * 2 + ended
+        self.table = flat.astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = self.table[state + symbol]
+        return got >> 1, got & 1
+
+
+class Hashed:
+    """The same for large alphabets: only the moves that exist, in an open-addressing table of at least four slots a move."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, size: int, width: int):
+        self.width = width
+        self.root = np.zeros(width, np.int64)
+        self.root[symbols[states == 0]] = to[states == 0]
+        moves = states.astype(np.int64) * width + symbols
+        self.shift = np.uint64(64 - max(4, (4 * len(moves)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.moves, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        slot, left = self._slot(moves), np.arange(len(moves))
+        while len(left):
+            free = left[self.moves[slot[left]] < 0]
+            self.moves[slot[free]] = moves[free]
+            left = left[self.moves[slot[left]] != moves[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.to[slot] = to
+
+    def _slot(self, moves: np.ndarray) -> np.ndarray:
+        return (moves.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        move = state * self.width + symbol
+        slot = self._slot(move)
+        found = self.moves[slot]
+        hit = found == move
+        left = np.flatnonzero(~hit & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            found = self.moves[slot[left]]
+            hit[left] = found == move[left]
+            left = left[(found >= 0) & (found != move[left])]
+        return np.where(hit, self.to[slot], self.root[symbol]), ~hit
+
+
 class CrossParser:
-    """Alphabet and, per language, a flat table: state and symbol -> next state x 2 + 1 if a phrase ended."""
+    """A code for each letter of the samples; per language the symbols of its own letters, and the moves of its automaton."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if ord(c) < 65536][: SYMBOLS - 3]
-        self.code = np.array([UNKNOWN if chr(c).isalpha() else GAP for c in range(65536)] + [UNKNOWN], np.uint8)
-        for i, c in enumerate(alphabet, 2):
-            for v in {c, c.upper()}:
-                if len(v) == 1 and ord(v) < 65536:
-                    self.code[ord(v)] = i
+        fold = _folded()
+        letters = sorted({int(fold[ord(c)]) for texts in samples.values() for t in texts for c in set(t)} - {-1})
+        by_letter = np.zeros(0x110000, np.int32)
+        by_letter[letters] = np.arange(2, len(letters) + 2)
+        self.code = np.where(fold < 0, GAP, by_letter[fold]).astype(np.int32)
         self.langs = sorted(k for k, v in samples.items() if any(v))
-        self.tables, self.bits = [], []
+        self.symbols, self.tables, self.bits = [], [], []
         for lang in self.langs:
             codes = [c for t in samples[lang] for c in [*self.codes([t])[0].tolist(), UNKNOWN]]
             nxt = suffix_automaton([c if c != UNKNOWN else -1 - i for i, c in enumerate(codes)])
-            table = np.full((len(nxt), SYMBOLS), -1, np.int32)
-            for s, moves in enumerate(nxt):
-                for c, t in moves.items():
-                    if c > 0:
-                        table[s, c] = t
-            ended = table < 0
-            flat = np.where(ended, np.maximum(table[0], 0), table) * 2 + ended
-            flat[:, PAD] = np.arange(len(nxt)) * 2
-            flat[:, UNKNOWN] = 1
-            # states are kept as row offsets
-            self.tables.append((((flat >> 1) * SYMBOLS) << 1 | (flat & 1)).astype(np.int32).ravel())
+            own = sorted(set(codes) - {UNKNOWN, GAP})
+            symbol = np.zeros(len(letters) + 2, np.int32)
+            symbol[[GAP, *own]] = np.arange(1, len(own) + 2)
+            states, found, to = np.array([(s, c, t) for s, moves in enumerate(nxt) for c, t in moves.items() if c > 0], np.int64).reshape(-1, 3).T
+            kind = Flat if len(nxt) * (len(own) + 2) <= CELLS else Hashed
+            self.symbols.append(symbol)
+            self.tables.append(kind(states, symbol[found], to, len(nxt), len(own) + 2))
             self.bits.append(np.log2(max(2, len(codes))))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts, one after another, and their number in each; every run of characters that are no letters is one gap."""
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[np.minimum(points, 65536)]
+        codes = self.code[points]
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -109,15 +166,15 @@ class CrossParser:
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for at in range(0, len(order), LANES):
             lane = order[at : at + LANES]
-            width = int((stop - start)[lane].max())
-            where = start[lane] + np.arange(width)[:, None]
-            steps = np.where(where < stop[lane], codes[np.minimum(where, len(codes) - 1)], PAD)
-            for k, table in enumerate(self.tables):
-                state, count = np.zeros(len(lane), np.int32), np.zeros(len(lane), np.int32)
-                for row in steps:
-                    got = table[state + row]
-                    count += got & 1
-                    state = got >> 1
+            sizes_left = (stop - start)[lane]
+            width = int(sizes_left[0])
+            steps = codes[np.minimum(start[lane] + np.arange(width)[:, None], len(codes) - 1)]
+            live = np.searchsorted(-sizes_left, -np.arange(width)).tolist()  # the longest come first
+            for k, (symbol, table) in enumerate(zip(self.symbols, self.tables, strict=True)):
+                state, count = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int32)
+                for n, row in zip(live, steps, strict=True):
+                    state[:n], ended = table.step(state[:n], symbol[row[:n]])
+                    count[:n] += ended
                 # the open phrase at the end counts too
                 np.add.at(out[:, k], owner[lane], count + (state > 0))
         return out, sizes

@@ -260,3 +260,38 @@ def test_pipeline(spark):
     for i, x in got.items():
         assert not pii.base_spans(x.text) or x.text == table[i]
         assert x.n_tokens > 0
+
+
+def brute_phrases(sample, text):
+    """Phrases of the text in the sample's normalised texts, block by block."""
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in t))
+    known, text, n = [plain(t) for t in sample], plain(text), 0
+    for at in range(0, len(text), cross_parse.BLOCK):
+        phrase = ""
+        for c in text[at : at + cross_parse.BLOCK]:
+            if any(phrase + c in t for t in known):
+                phrase += c
+            else:
+                n += 1
+                phrase = c if any(c in t for t in known) else ""
+        n += phrase != ""
+    return n
+
+
+def test_language_id_of_large_and_many_scripts():
+    r = random.Random(8)
+    scripts = {
+        "zh": [*range(0x4E00, 0x5600), *range(0x20000, 0x20010)], "ja": [*range(0x3041, 0x3097), *range(0x4E00, 0x4F00)], "ko": [*range(0xAC00, 0xB000)], "got": [*range(0x10330, 0x1034B)],
+        "el": [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)], "ru": [*range(0x430, 0x450)], "bg": [*range(0x430, 0x448)], "ar": [*range(0x627, 0x63B)], "en": [*range(97, 123)], "vi": [*range(97, 123), *range(0x1EA1, 0x1EF9, 2)],
+    }
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(r.randrange(2, 6))) for _ in range(900)] for k, v in scripts.items()}
+    text = lambda k, n: "".join(r.choice(words[k]) + r.choice(["", " ", ", "]) for _ in range(n))
+    samples = {k: [text(k, 250) for _ in range(8)] for k in words}
+    p = cross_parse.CrossParser(samples)
+    truth = [k for k in words for _ in range(4)]
+    docs = [text(k, 60).upper() for k in truth]
+    assert [k for k, _ in p.predict(docs)] == truth
+    docs += ["", "1 2", "Ω日𠀀 x" * 300, text("zh", 200) + text("ru", 200), "İ ı ς ǅ ß"]
+    assert p.phrases(docs)[0].tolist() == [[brute_phrases(samples[k], t) for k in p.langs] for t in docs]
+    kinds = {k: type(t) for k, t in zip(p.langs, p.tables, strict=True)}
+    assert kinds["zh"] is cross_parse.Hashed and kinds["en"] is cross_parse.Flat
