@@ -23,8 +23,11 @@ def top_values(df: DataFrame, column: str, most: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("n"), "value").limit(most)
 
 
-def drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old, new (asset, column_name, type) -> asset, column_name, violation, severity."""
+def drift(old: DataFrame, new: DataFrame, old_counts: DataFrame | None = None, new_counts: DataFrame | None = None) -> DataFrame:
+    """old, new (asset, column_name, type) -> asset, column_name, violation, severity.
+
+    With row counts of both scans (asset, row_count), a change by more than half of an old count above 0 is an anomaly of an asset that both have.
+    """
     o = old.select("asset", F.lower("column_name").alias("column_name"), F.col("type").alias("was"))
     n = new.select("asset", F.lower("column_name").alias("column_name"), F.col("type").alias("now"))
     gone = o.select("asset").distinct().join(n.select("asset").distinct(), "asset", "left_anti")
@@ -32,6 +35,10 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     cols = o.join(n, ["asset", "column_name"], "full").join(gone, "asset", "left_anti").join(known, "asset", "left_semi")
     kind = F.when(F.col("was").isNull(), "added_column").when(F.col("now").isNull(), "removed_column").when(F.lower("was") != F.lower("now"), "type_changed")
     out = cols.select("asset", "column_name", kind.alias("violation")).where("violation is not null").unionByName(gone.select("asset", F.lit(None).cast("string").alias("column_name"), F.lit("table_dropped").alias("violation")))
+    if old_counts is not None and new_counts is not None:
+        counts = old_counts.select("asset", F.col("row_count").alias("was")).join(new_counts.select("asset", F.col("row_count").alias("now")), "asset").join(known, "asset", "left_semi").join(gone, "asset", "left_anti")
+        odd = counts.where((F.col("was") > 0) & (F.abs(F.col("now") - F.col("was")) / F.col("was") > 0.5))
+        out = out.unionByName(odd.select("asset", F.lit(None).cast("string").alias("column_name"), F.lit("row_count_anomaly").alias("violation")))
     level = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
     return out.withColumn("severity", level[F.col("violation")])
 
