@@ -57,24 +57,27 @@ def impact(edges: DataFrame, queries: DataFrame, start: str) -> DataFrame:
     return reach(edges, start).join(use, "node", "left").select("node", "depth", F.coalesce("executions", F.lit(0)).alias("executions"))
 
 
-def match_scores(sources: DataFrame, targets: DataFrame, threshold: float = 0.6) -> DataFrame:
+def match_scores(sources: DataFrame, targets: DataFrame, threshold: float = 0.6, every: bool = False) -> DataFrame:
     """Objects (object, row_count, columns array<struct<name,type>>) of two systems that look alike.
 
     0.5 name + 0.3 Jaccard of columns + 0.1 type agreement + 0.1 row-count similarity, the last left out where a count is missing. A pair
     with other names needs 0.6 from 0.5 at most, so with the default threshold only equal names can match: the join is on the name.
+    With `every`, all pairs of objects that have columns and a score above 0 come, as in the reference; those below the threshold are candidates.
     """
     from ..functions.sqltext import type_match
 
-    if threshold <= 0.5 / 0.9:
+    if threshold <= 0.5 / 0.9 and not every:
         raise ValueError("below this, pairs with different names match too")
     a, b = sources.alias("a"), targets.alias("b")
-    pairs = a.join(b, F.lower("a.object") == F.lower("b.object"))
+    same = F.lower(F.trim("a.object")) == F.lower(F.trim("b.object"))
+    pairs = a.where(F.size("columns") > 0).crossJoin(b.where(F.size("columns") > 0)) if every else a.join(b, same)
     names = lambda c: F.array_distinct(F.transform(F.col(c), lambda x: F.lower(x["name"])))
     both, either = F.array_intersect(names("a.columns"), names("b.columns")), F.array_union(names("a.columns"), names("b.columns"))
     kind = lambda c, n: F.element_at(F.filter(F.col(c), lambda x: F.lower(x["name"]) == n), 1)["type"]
     types = F.aggregate(both, F.lit(0.0), lambda s, n: s + type_match(kind("a.columns", n), kind("b.columns", n))) / F.greatest(F.size(both), F.lit(1))
     rows = 1 - F.abs(F.col("a.row_count") - F.col("b.row_count")) / F.greatest("a.row_count", "b.row_count", F.lit(1))
-    score = (0.5 + 0.3 * F.size(both) / F.greatest(F.size(either), F.lit(1)) + 0.1 * types + 0.1 * F.coalesce(rows, F.lit(0.0))) / F.when(rows.isNull(), 0.9).otherwise(1.0)
+    score = (0.5 * same.cast("int") + 0.3 * F.size(both) / F.greatest(F.size(either), F.lit(1)) + 0.1 * types + 0.1 * F.coalesce(rows, F.lit(0.0))) / F.when(rows.isNull(), 0.9).otherwise(1.0)
     out = pairs.select(F.col("a.object").alias("source_object"), F.col("b.object").alias("target_object"), F.round(score, 6).alias("score"))
+    out = out.where("score > 0") if every else out
     best = Window.partitionBy("source_object").orderBy(F.desc("score"), "target_object")
     return out.withColumn("rank", F.row_number().over(best)).withColumn("primary_match", (F.col("rank") == 1) & (F.col("score") >= threshold))

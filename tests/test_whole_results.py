@@ -19,3 +19,16 @@ def test_row_count_anomaly(spark):
     assert sorted(map(tuple, got.collect())) == [*odd, ("g", None, "table_dropped", "error")]
     modes = spark.createDataFrame([("a", "enforce"), ("g", "enforce")], "asset string, mode string")
     assert sorted(map(tuple, governance.enforced(got, modes).collect())) == [("a", "enforce", 1, False), ("b", "shadow", 1, False), ("g", "enforce", 1, True)]
+
+
+def test_every_schema_match(spark):
+    kind = "object string, row_count bigint, columns array<struct<name:string,type:string>>"
+    cols = [("id", "int"), ("amount", "numeric")]
+    a = spark.createDataFrame([("orders", None, cols), ("empty", 5, [])], kind)
+    b = spark.createDataFrame([("orders", None, [("other", "int")]), ("orders_v2", None, cols), ("alone", None, [("z", "int")]), ("half", 7, [("ID", "numeric"), ("q", "text")])], kind)
+    got = [tuple(x) for x in graph.match_scores(a, b, every=True).orderBy("rank").collect()]
+    want = [("orders", 0.5 / 0.9), ("orders_v2", 0.4 / 0.9), ("half", (0.3 / 3 + 0.05) / 0.9)]
+    assert got == [("orders", t, round(s, 6), n, False) for n, (t, s) in enumerate(want, 1)]
+    counted = spark.createDataFrame([("x", 10, [("p", "int")])], kind)  # alike in their row counts only
+    assert [tuple(x) for x in graph.match_scores(counted, b, every=True).collect()] == [("x", "half", 0.07, 1, False)]
+    assert [x.target_object for x in graph.match_scores(a, b).collect()] == ["orders"]
