@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Levels of a traversal after which all that was seen is written again, so that long chains keep short plans.
+CUT_LEVELS = 32
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back, so that loops keep short plans."""
@@ -37,17 +41,24 @@ def declared_first(declared: DataFrame, guessed: DataFrame) -> DataFrame:
     return declared.unionByName(guessed.join(declared, ["source", "target"], "left_anti"))
 
 
-def reach(edges: DataFrame, start: str, down: bool = True, depth: int | None = None, limit: int = 1000) -> DataFrame:
-    """node, depth of all nodes reachable from start, which is left out; cycles end. One join for each level, cut each time."""
+def reach(edges: DataFrame, start: str, down: bool = True, depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """node, depth of all nodes reachable from start, which is left out; cycles end. One join for each level, cut each time.
+
+    Without a depth it goes on until no node is new; more than `limit` levels, if given, are an error.
+    """
     a, b = ("source", "target") if down else ("target", "source")
     step = edges.select(F.col(a).alias("here"), F.col(b).alias("there"))
     spark = edges.sparkSession
     seen = cut(spark.createDataFrame([(start, 0)], "node string, depth int"))
-    for level in range(1, (depth or limit) + 1):
+    for level in range(1, depth + 1) if depth is not None else count(1):
         new = cut(step.join(seen.where(F.col("depth") == level - 1), F.col("here") == F.col("node")).select(F.col("there").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if new.isEmpty():
             break
+        if depth is None and limit is not None and level > limit:
+            raise RuntimeError(f"nodes beyond {limit} levels")
         seen = seen.unionByName(new)
+        if level % CUT_LEVELS == 0:
+            seen = cut(seen)
     return seen.where(F.col("depth") > 0)
 
 

@@ -32,3 +32,13 @@ def test_every_schema_match(spark):
     counted = spark.createDataFrame([("x", 10, [("p", "int")])], kind)  # alike in their row counts only
     assert [tuple(x) for x in graph.match_scores(counted, b, every=True).collect()] == [("x", "half", 0.07, 1, False)]
     assert [x.target_object for x in graph.match_scores(a, b).collect()] == ["orders"]
+
+
+def test_reach_has_no_silent_end(spark, monkeypatch):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(8)] + [("8", "5")], "source string, target string")
+    assert inspect.signature(graph.reach).parameters["limit"].default is None
+    monkeypatch.setattr(graph, "CUT_LEVELS", 3, raising=False)
+    assert sorted(map(tuple, graph.reach(edges, "0").collect())) == [(str(i), i) for i in range(1, 9)]
+    assert graph.reach(edges, "0", limit=8).count() == 8 and graph.reach(edges, "0", depth=2, limit=1).count() == 2
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, "0", limit=7)
