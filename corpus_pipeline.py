@@ -19,8 +19,11 @@ def _row(docs: DataFrame):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a letter go."""
-    found = cross_parse.identify(docs, cross_parse.sample_texts(docs), _row(docs))
+    """Documents that have a language; those without a letter go, and no others, also where no label tells of any language."""
+    samples = cross_parse.sample_texts(docs)
+    if not any(map(any, samples.values())):
+        return cross_parse.lettered(docs)
+    found = cross_parse.identify(docs, samples, _row(docs))
     return found.where("lang_pred != 'und'").select("__row.*")
 
 

@@ -56,6 +56,10 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for c in text or "")
+
+
 @lru_cache(maxsize=1)
 def _folded() -> np.ndarray:
     """By code point the letter without case, -1 for other characters."""
@@ -181,7 +185,7 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         whole = [t or "" for t in texts]
-        letters = [any(c.isalpha() for c in t) for t in whole]
+        letters = [has_letter(t) for t in whole]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         count, sizes = self.phrases(whole)
@@ -239,3 +243,15 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *keep: Column) -> D
 
     schema = StructType([*rows.schema.fields[1:]]).add("lang_pred", StringType()).add("score", DoubleType())
     return rows.mapInArrow(run, schema)
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter: those that predict gives a language once there is one."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -295,3 +295,13 @@ def test_language_id_of_large_and_many_scripts():
     assert p.phrases(docs)[0].tolist() == [[brute_phrases(samples[k], t) for k in p.langs] for t in docs]
     kinds = {k: type(t) for k, t in zip(p.langs, p.tables, strict=True)}
     assert kinds["zh"] is cross_parse.Hashed and kinds["en"] is cross_parse.Flat
+
+
+def test_language_stage_without_labels(spark, docs):
+    import corpus_pipeline
+
+    want = sorted((i, t) for i, t, *_ in rows() if t and any(c.isalpha() for c in t))
+    blank = [(1, "", "en", 1.0, None), (2, None, "de", 1.0, None)]  # labels that teach nothing
+    for table in (docs, docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame(blank, KIND))):
+        got = corpus_pipeline.language_id(spark, table, "")
+        assert got.columns == docs.columns and sorted((x.doc_id, x.text) for x in got.collect()) == want
