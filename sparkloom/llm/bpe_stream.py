@@ -182,13 +182,13 @@ class Transducer:
 
 def at_once(m: MergeList, w: str) -> list[str]:
     """What a Transducer gives for a word short enough to be held whole."""
-    n, whole, own, pairs, joins = len(w), m.whole, m.own, m._pairs, m.joins
+    n, whole, own, known, pairs, joins = len(w), m.whole, m.own, m._own.get, m._pairs, m.joins
     last: list[str | None] = [None] * (n + 1)
     for end in range(1, n + 1):
         part = w[:end] + m.suffix if end == n else w[:end]
         for start in range(max(0, end - m.longest), end):
             t = part[start:]
-            if t in whole and own(t):
+            if t in whole and (known(t) or own(t)):
                 if start:
                     prior = last[start]
                     if prior is None:
@@ -213,6 +213,8 @@ class Decoder:
         self.held, self.need = b"", 0
 
     def feed(self, data: bytes) -> str:
+        if not self.held and data.isascii():
+            return data.decode()
         data, out = self.held + data, []
         i = 0
         while i < len(data):
@@ -249,8 +251,10 @@ class WordBpe:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self._byte = byte_symbols()
-        self._cache: dict[str, tuple[str, int, str]] = {}
+        self._back = {s: b for b, s in enumerate(self._byte)}
+        self._cache: dict[str, tuple[str, int, str, str]] = {}
         self._spec, self._lib = spec, None
+        self._plain = self._whole_characters()
 
     def word(self, symbols: str) -> list[int]:
         """Ids of a word given as byte symbols."""
@@ -275,12 +279,12 @@ class WordBpe:
             self._lib = Tokenizer.from_str(self._spec)
         return self._lib
 
-    def _made(self, symbols: Iterable[str]) -> tuple[str, int, str]:
+    def _made(self, symbols: Iterable[str]) -> tuple[str, int, str, str]:
         ids = [i for w in symbols for i in self.word(w)]
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+        return " ".join(map(str, ids)), len(ids), self.decode(ids), self.text(ids)
 
-    def chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids, their number and the decoded text of a chunk without white space."""
+    def chunk(self, chunk: str) -> tuple[str, int, str, str]:
+        """Ids, their number, the tokens joined by spaces and the words themselves of a chunk without white space."""
         if (got := self._cache.get(chunk)) is None:
             got = self._made(self._symbols(chunk))
             if len(chunk) <= LONGEST_CACHED:
@@ -289,13 +293,13 @@ class WordBpe:
                 self._cache[chunk] = got
         return got
 
-    def _parts(self, text: str) -> Iterator[tuple[str, int, str]]:
+    def _parts(self, text: str) -> Iterator[tuple[str, int, str, str]]:
         """What `chunk` gives for each chunk of the text, in order; special tokens come as themselves."""
         parts = self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
         cache, chunk = self._cache.get, self.chunk
         for nth, part in enumerate(parts):
             if nth % 2:
-                yield str(self.special[part]), 1, part
+                yield str(self.special[part]), 1, part, part
                 continue
             if not part.isascii():
                 if _HIGH.search(part) and _unassigned().search(part):  # characters newer than Python's tables: the library tells the words
@@ -309,16 +313,31 @@ class WordBpe:
                 yield cache(c) or chunk(c)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, _ in self._parts(text) if n for i in ids.split(" ")]
+        return [int(i) for ids, n, *_ in self._parts(text) if n for i in ids.split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library where the file names no decoder: the tokens joined by spaces."""
         return " ".join(self.token[i] for i in ids)
 
+    def _whole_characters(self) -> dict[int, str]:
+        """The text of each token that neither begins nor ends within a character."""
+        out, suffix = {i: t for t, i in self.special.items()}, self.merges.suffix
+        for i, t in self.token.items():
+            body = t[: -len(suffix)] if suffix and t.endswith(suffix) and len(t) > len(suffix) else t
+            try:
+                out.setdefault(i, bytes(self._back[c] for c in body).decode() + (" " if body != t else ""))
+            except (KeyError, UnicodeDecodeError):
+                pass
+        return out
+
     def text(self, ids: Iterable[int]) -> str:
-        """The words themselves: an incremental byte-to-text decoder, a space after each end of word."""
-        back = {s: b for b, s in enumerate(self._byte)}
-        d, out = Decoder(), []
+        """The words themselves: an incremental byte-to-text decoder, a space after each end of word. Tokens of whole characters need no decoder among their like."""
+        ids = list(ids)
+        try:
+            return "".join([self._plain[i] for i in ids])
+        except KeyError:
+            pass
+        back, d, out = self._back, Decoder(), []
         for i in ids:
             t, end = self.token[i], ""
             if t in self.special:
@@ -329,15 +348,16 @@ class WordBpe:
             out.append(d.feed(bytes(back[c] for c in t)) + (d.finish() + end if end else ""))
         return "".join(out) + d.finish()
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids joined by spaces, digest of the decoded text."""
-        n, ids, texts = 0, [], []
-        for got in self._parts(text):
-            if got[1]:
-                ids.append(got[0])
-                n += got[1]
-                texts.append(got[2])
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(texts).encode()).hexdigest()
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids, digests of the ids joined by spaces, of the decoded text, and of the words that the byte-to-text decoder gives back."""
+        n, ids, texts, words = 0, [], [], []
+        for i, size, decoded, plain in self._parts(text):
+            if size:
+                n += size
+                ids.append(i)
+                texts.append(decoded)
+                words.append(plain)
+        return n, *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(ids), " ".join(texts), "".join(words)))
 
 
 @lru_cache(maxsize=1)
@@ -354,7 +374,7 @@ def _unassigned() -> re.Pattern:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, *keep: Column) -> DataFrame:
-    """Columns `keep` (doc_id if none), n_tokens, ids_sha256, decoded_sha256. The file is read on the driver and broadcast (its size is that of the vocabulary)."""
+    """Columns `keep` (doc_id if none), n_tokens, ids_sha256, decoded_sha256, text_sha256. The file is read on the driver and broadcast (its size is that of the vocabulary)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     key = hashlib.sha256(spec.encode()).hexdigest()
@@ -367,7 +387,10 @@ def round_trip(docs: DataFrame, tokenizer_path: str, *keep: Column) -> DataFrame
         t = worker_state(key, lambda: WordBpe(shared.value))
         for b in batches:
             got = [t.digest(x or "") for x in b.column(0).to_pylist()]
-            yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in (1, 2, 3))], names=[*b.schema.names[1:], "n_tokens", *digests])
 
-    schema = StructType([*rows.schema.fields[1:]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    digests = ("ids_sha256", "decoded_sha256", "text_sha256")
+    schema = StructType([*rows.schema.fields[1:]]).add("n_tokens", "long")
+    for name in digests:
+        schema = schema.add(name, "string")
     return rows.mapInArrow(run, schema)

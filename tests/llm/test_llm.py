@@ -305,3 +305,21 @@ def test_language_stage_without_labels(spark, docs):
     for table in (docs, docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame(blank, KIND))):
         got = corpus_pipeline.language_id(spark, table, "")
         assert got.columns == docs.columns and sorted((x.doc_id, x.text) for x in got.collect()) == want
+
+
+def test_bpe_round_trip_by_the_library(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    w = bpe_stream.WordBpe(open(path, encoding="utf-8").read())
+    more = [(900, "Ünï 日本😀 don't <|endoftext|>x <|startoftext|>", None, 1.0, None), (901, "ab" * 5000 + "é" * 300, None, 1.0, None), (902, " Σ\x1c\u2003z ", None, 1.0, None)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    back = {s: b for b, s in enumerate(bpe_stream.byte_symbols())}
+    want = collections.Counter()
+    for i, t, *_ in rows() + more:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)), sha(w.text(ids))] += 1
+        if not any(x in (t or "") for x in w.special):
+            plain = "".join(bytes(back[c] for c in x).decode() + " " for x, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(t or "")))
+            assert w.text(ids) == plain
+    got = bpe_stream.round_trip(docs.unionByName(spark.createDataFrame(more, KIND)), path)
+    assert collections.Counter((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256, x.text_sha256) for x in got.collect()) == want
