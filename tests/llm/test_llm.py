@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -323,3 +325,76 @@ def test_bpe_round_trip_by_the_library(spark, docs):
             assert w.text(ids) == plain
     got = bpe_stream.round_trip(docs.unionByName(spark.createDataFrame(more, KIND)), path)
     assert collections.Counter((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256, x.text_sha256) for x in got.collect()) == want
+
+
+def test_language_model_scores_by_plain_counts(docs, monkeypatch):
+    learnt, learn = [], interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda *a: learnt.append(learn(*a)) or learnt[-1])
+    got = interpolated_lm.scored(docs, F.col("doc_id") % 5 != 1).collect()
+    tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b""]
+    one, two = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows():
+        if i % 5 != 1:
+            one.update(tokens(t))
+            two.update(zip([b"", *tokens(t)], tokens(t)))
+    n, v, w = sum(one.values()), len(one), learnt[0]
+    want = []
+    for i, t, *_ in rows():
+        base = sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))
+        weights = lambda c: w[min(c.bit_length(), interpolated_lm.BUCKETS - 1)]
+        p = [(weights(one[a]), two[a, b] / max(1, one[a]), one[b] / n) for a, b in zip([b"", *tokens(t)], tokens(t))]
+        want.append((i, base, sum(math.log10(x[0] * c + x[1] * d + x[2] / (v + 1)) for x, c, d in p)))
+    for g, x in zip(sorted((r.doc_id, r.base_score, r.score) for r in got), sorted(want), strict=True):
+        assert g == pytest.approx(x, rel=1e-9)
+
+
+def test_fingerprint_likeness_by_plain_sets(docs):
+    def kept(t):
+        w, out = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if x], set()
+        for k in range(max(1, len(w) - 4) if w else 0):
+            h = 42
+            for x in w[k : k + 5]:
+                h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+            if 1 << 63 <= h < (1 << 63) + (1 << 62):  # the lowest quarter of the signed numbers
+                out.add((h & ((1 << 62) - 1)) >> 30)
+        return out
+
+    like = lambda a, b: len(kept(a) & kept(b)) / len(kept(a) | kept(b)) if kept(a) | kept(b) else float(a == b)
+    order = [(i, t or "") for i, t, *_ in sorted(rows(), key=lambda x: (x[0], x[1] or ""))]
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, q = order[(k + 1) % len(order)][1], len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        want.append((i, len(t), like(t, edited), like(t, after)))
+    got = sorted((x.doc_id, x.n_chars, x.near_edited, x.near_next) for x in scaled_sketch.sketched(docs).collect())
+    for g, x in zip(got, sorted(want), strict=True):
+        assert g == pytest.approx(x)
+
+
+def test_pipeline_texts_and_digests(spark):
+    import corpus_pipeline
+
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
+    table = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    table = {i: t for i, t in table.items() if t and any(c.isalpha() for c in t)}
+    table = {i: table[i] for i, (_, c) in brute_components(table.items(), 5, 80).items() if i == c}
+    items = [decontaminate.normal(x.text) for x in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    near = lambda t: any(decontaminate.myers(x, t)[0] <= len(x) // decontaminate.CHARS_PER_EDIT for x in items if x)
+    assert set(got) <= set(table)
+    for i in set(table) - set(got):
+        assert near(decontaminate.normal(table[i])), i
+    for i in got:
+        assert not any(x and x in decontaminate.normal(table[i]) for x in items), i
+    w = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    keys = sorted(got)
+    changed = 0
+    for i, (_, spans) in zip(keys, pii.find_spans([table[i] for i in keys], pii.model()), strict=True):
+        text = table[i]
+        for kind, a, b in sorted(spans, key=lambda s: -s[1]):
+            text = text[:a] + f"<{kind.upper()}>" + text[b:]
+        changed += text != table[i]
+        ids = w.encode(text, add_special_tokens=False).ids
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        x = got[i]
+        assert (x.text, x.n_tokens, x.ids_sha256, x.decoded_sha256) == (text, len(ids), sha(" ".join(map(str, ids))), sha(w.decode(ids, skip_special_tokens=False)))
+    assert changed
