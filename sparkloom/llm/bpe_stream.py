@@ -1,13 +1,14 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
 The tokens of a merge list's encoding are exactly those of which every neighbouring pair encodes to itself. So each prefix of a word has one
-last token, which depends on the last token of the prefix before it: a chain of back pointers. A token is emitted once every prefix that
-a later token can still start at (no further back than the longest token) has it on its chain; no later symbol can change it then.
-`sufficient_lookahead` bounds how far that is from the merge list alone: what stands to the right of a token can only
-change it through a chain of merges of falling rank, each of whose left parts lies on the right edge of the one before.
-Words are fed symbol by symbol, so memory is constant however long a word is; results of short chunks of text are kept in a cache of bounded size.
-
-Null texts count as empty: no tokens, the digests of the empty string. Characters without a vocabulary entry are left out, as the library does.
+last token, which depends on the last token of the prefix before it: a chain of back pointers. `sufficient_lookahead` says from the merge list alone how
+far right of a token's end a symbol can stand that still changes it: only through a chain of merges of falling rank, each of whose left parts lies
+on the right edge of the one before. A token that ends that far back is emitted; no later symbol can change it.
+Words are fed symbol by symbol, so memory is constant however long a word is; of a word no longer than the lookahead nothing can leave before its end, so
+it is taken at once, and results of short words and chunks are kept in caches of bounded size. Tokens go to the incremental decoder and to the digests as they leave.
+
+Null texts count as empty: no tokens, the digests of the empty string. Characters without a vocabulary entry are left out, as the library does. Each
+row is encoded by itself, so repeated rows give repeated results and an empty table gives none; result columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql.types import StructType
 from .store import bounded_batches, worker_state
 
 _HIGH = re.compile("[\u0378-\U0010ffff]")
-STRIDE, CACHED, LONGEST_CACHED = 64, 1 << 19, 96
+_SPACE, _SPACES = re.compile(r"[^\S\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
+STRIDE, CACHED, LONGEST_CACHED, WINDOW = 64, 1 << 19, 96, 1 << 16
+Made = tuple[str, int, str, str]
 
 
 def byte_symbols() -> list[str]:
@@ -152,13 +155,10 @@ class Transducer:
         return end - (len(t) - len(self.m.suffix) if self.m.suffix and t.endswith(self.m.suffix) else len(t))
 
     def _stable(self) -> list[str]:
-        n = len(self.text)
-        live = {e for e in range(max(0, n - self.m.longest + 1), n + 1)}
-        while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(self._start(top))
-        cut = live.pop()
+        """Tokens that end the sufficient lookahead or more before the last symbol: nothing to come can change them."""
+        cut = len(self.text)
+        while cut > 0 and cut > len(self.text) - self.m.lookahead:
+            cut = self._start(cut)
         return self._emit(cut)
 
     def _emit(self, cut: int) -> list[str]:
@@ -252,20 +252,25 @@ class WordBpe:
         self._words = regex.compile(next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self._byte = byte_symbols()
         self._back = {s: b for b, s in enumerate(self._byte)}
-        self._cache: dict[str, tuple[str, int, str, str]] = {}
+        self._cache: dict[str, Made] = {}
+        self._known: dict[str, Made] = {}
         self._spec, self._lib = spec, None
         self._plain = self._whole_characters()
 
     def word(self, symbols: str) -> list[int]:
         """Ids of a word given as byte symbols."""
-        if len(symbols) <= STRIDE:
-            out = at_once(self.merges, symbols)
-        else:
-            t, out = Transducer(self.merges), []
-            for c in symbols:
-                out += t.feed(c)
-            out += t.finish()
-        return [self.merges.vocab[x] for x in out]
+        return [self.merges.vocab[t] for tokens in self._tokens(symbols) for t in tokens]
+
+    def _tokens(self, symbols: str) -> Iterator[list[str]]:
+        """Tokens of a word as they leave the transducer."""
+        if len(symbols) <= self.merges.lookahead:
+            yield at_once(self.merges, symbols)
+            return
+        t = Transducer(self.merges)
+        for c in symbols:
+            if out := t.feed(c):
+                yield out
+        yield t.finish()
 
     def _symbols(self, chunk: str) -> list[str]:
         """The words of a chunk as byte symbols."""
@@ -279,41 +284,79 @@ class WordBpe:
             self._lib = Tokenizer.from_str(self._spec)
         return self._lib
 
-    def _made(self, symbols: Iterable[str]) -> tuple[str, int, str, str]:
-        ids = [i for w in symbols for i in self.word(w)]
-        return " ".join(map(str, ids)), len(ids), self.decode(ids), self.text(ids)
+    def _word_made(self, symbols: str) -> Made:
+        if (got := self._known.get(symbols)) is None:
+            ids = self.word(symbols)
+            got = " ".join(map(str, ids)), len(ids), self.decode(ids), self.text(ids)
+            if len(symbols) <= LONGEST_CACHED:
+                if len(self._known) >= CACHED:
+                    self._known.clear()
+                self._known[symbols] = got
+        return got
+
+    def _streamed(self, symbols: str) -> Iterator[Made]:
+        """A long word's tokens as they leave, and the characters they complete."""
+        d = Decoder()
+        for tokens in self._tokens(symbols):
+            ids = [self.merges.vocab[t] for t in tokens]
+            yield " ".join(map(str, ids)), len(ids), self.decode(ids), "".join([self._fed(d, i) for i in ids])
+        yield "", 0, "", d.finish()
+
+    def _words_made(self, words: Iterable[str]) -> Iterator[Made]:
+        for w in words:
+            if len(w) > self.merges.lookahead:
+                yield from self._streamed(w)
+            else:
+                yield self._word_made(w)
 
-    def chunk(self, chunk: str) -> tuple[str, int, str, str]:
-        """Ids, their number, the tokens joined by spaces and the words themselves of a chunk without white space."""
+    def chunk(self, chunk: str) -> Made:
+        """Ids, their number, the tokens joined by spaces and the words themselves of a short chunk without white space."""
         if (got := self._cache.get(chunk)) is None:
-            got = self._made(self._symbols(chunk))
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self._cache) >= CACHED:
-                    self._cache.clear()
-                self._cache[chunk] = got
+            parts = [m for m in self._words_made(self._symbols(chunk)) if m[1]]
+            got = parts[0] if len(parts) == 1 else (" ".join([m[0] for m in parts]), sum(m[1] for m in parts), " ".join([m[2] for m in parts]), "".join([m[3] for m in parts]))
+            if len(self._cache) >= CACHED:
+                self._cache.clear()
+            self._cache[chunk] = got
         return got
 
-    def _parts(self, text: str) -> Iterator[tuple[str, int, str, str]]:
-        """What `chunk` gives for each chunk of the text, in order; special tokens come as themselves."""
+    def _parts(self, text: str) -> Iterator[list[Made]]:
+        """What the text's words give, in order and in lists of bounded size; special tokens come as themselves."""
         parts = self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
-        cache, chunk = self._cache.get, self.chunk
+        cache = self._cache.get
         for nth, part in enumerate(parts):
             if nth % 2:
-                yield str(self.special[part]), 1, part, part
+                yield [(str(self.special[part]), 1, part, part)]
                 continue
             if not part.isascii():
                 if _HIGH.search(part) and _unassigned().search(part):  # characters newer than Python's tables: the library tells the words
                     lib = self._library()
-                    yield self._made(w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part)))
+                    yield from ([m] for m in self._words_made(w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))))
                     continue
                 part = unicodedata.normalize("NFC", part)
                 if "Σ" in part:
                     part = part.replace("Σ", "σ")  # no final form: characters are lowered one by one
-            for c in re.split(r"[^\S\x1c-\x1f]+", part.lower()) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.lower().split():
-                yield cache(c) or chunk(c)
+            part, at = part.lower(), 0
+            odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
+            while at < len(part):
+                # a window of whole chunks
+                stop = at + WINDOW
+                if stop < len(part):
+                    cut = _SPACE.search(part, stop)
+                    stop = cut.start() if cut else len(part)
+                window = part[at:stop]
+                at = stop
+                chunks = _SPACES.split(window) if odd else window.split()
+                if len(window) <= 2 * WINDOW:
+                    yield [cache(c) or self.chunk(c) for c in chunks]
+                else:
+                    for c in chunks:
+                        if len(c) <= LONGEST_CACHED:
+                            yield [self.chunk(c)]
+                        else:
+                            yield from ([m] for m in self._words_made(self._symbols(c)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, *_ in self._parts(text) if n for i in ids.split(" ")]
+        return [int(i) for made in self._parts(text) for ids, n, *_ in made if n for i in ids.split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library where the file names no decoder: the tokens joined by spaces."""
@@ -330,34 +373,34 @@ class WordBpe:
                 pass
         return out
 
+    def _fed(self, d: Decoder, i: int) -> str:
+        """What a token completes: its bytes go through the decoder, a space follows an end of word."""
+        t, suffix = self.token[i], self.merges.suffix
+        if t in self.special:
+            return d.finish() + t
+        if suffix and t.endswith(suffix) and len(t) > len(suffix):
+            return d.feed(bytes([self._back[c] for c in t[: -len(suffix)]])) + d.finish() + " "
+        return d.feed(bytes([self._back[c] for c in t]))
+
     def text(self, ids: Iterable[int]) -> str:
         """The words themselves: an incremental byte-to-text decoder, a space after each end of word. Tokens of whole characters need no decoder among their like."""
         ids = list(ids)
         try:
             return "".join([self._plain[i] for i in ids])
         except KeyError:
-            pass
-        back, d, out = self._back, Decoder(), []
-        for i in ids:
-            t, end = self.token[i], ""
-            if t in self.special:
-                out.append(d.finish() + t)
-                continue
-            if self.merges.suffix and t.endswith(self.merges.suffix) and len(t) > len(self.merges.suffix):
-                t, end = t[: -len(self.merges.suffix)], " "
-            out.append(d.feed(bytes(back[c] for c in t)) + (d.finish() + end if end else ""))
-        return "".join(out) + d.finish()
+            d = Decoder()
+            return "".join([self._fed(d, i) for i in ids]) + d.finish()
 
     def digest(self, text: str) -> tuple[int, str, str, str]:
         """Number of ids, digests of the ids joined by spaces, of the decoded text, and of the words that the byte-to-text decoder gives back."""
-        n, ids, texts, words = 0, [], [], []
-        for i, size, decoded, plain in self._parts(text):
-            if size:
-                n += size
-                ids.append(i)
-                texts.append(decoded)
-                words.append(plain)
-        return n, *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(ids), " ".join(texts), "".join(words)))
+        n, digests = 0, [hashlib.sha256() for _ in range(3)]
+        for made in self._parts(text):
+            size = sum([m[1] for m in made])
+            for k, d, gap in ((0, digests[0], " "), (2, digests[1], " "), (3, digests[2], "")):
+                part = gap.join([m[k] for m in made if m[1]] if k < 3 else [m[k] for m in made])
+                d.update((gap + part if n and size else part).encode())
+            n += size
+        return n, *(d.hexdigest() for d in digests)
 
 
 @lru_cache(maxsize=1)
