@@ -6,7 +6,8 @@ without case, and each run of other characters is one gap. Every letter of the s
 that a language's sample lacks ends a phrase there. Documents are
 parsed whole, in independent blocks of `BLOCK` characters so that numpy advances thousands of blocks at once; a block's end
 ends a phrase. Ties go to the language that sorts first. A null text, or one without a letter, is `und` with score 0; so is every text when
-nothing could be learned. score is 1 - best / second best. The sample is bounded by `docs_per_lang` and `chars_per_doc`, all else is counted on all rows.
+nothing could be learned. score is 1 - best / second best. The sample is bounded by the number of its documents (`docs_per_lang`), all else is counted on all rows.
+Rows are judged one by one: repeated ones alike, null ids like others, none in an empty table; result columns stand beside those kept by name.
 """
 
 from __future__ import annotations
@@ -196,16 +197,20 @@ class CrossParser:
         return [(self.langs[b], float(s)) if ok else ("und", 0.0) for b, s, ok in zip(best, score, letters, strict=True)]
 
 
-def sample_texts(docs: DataFrame, docs_per_lang: int = 96, chars_per_doc: int = 500) -> dict[str, list[str]]:
-    """A bounded labelled sample: for each language the documents of smallest hash of the key, some characters of each."""
-    keys = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = keys.withColumn("nth", rank).where(F.col("nth") <= docs_per_lang).select("doc_id").distinct()
-    ids = [r[0] for r in picked.collect()]
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    out: dict[str, set[str]] = {}
-    for lang, text in rows.select("lang", F.substring("text", 1, chars_per_doc)).collect():
-        out.setdefault(lang, set()).add(text)
+def sample_texts(docs: DataFrame, docs_per_lang: int = 24, short: int = 4000, total_docs: int = 20_000) -> dict[str, list[str]]:
+    """A bounded labelled sample: for each language whole texts of the documents of smallest hash of the key, those of at most `short` characters first.
+
+    Of so many languages that `total_docs` would be exceeded, each has fewer documents, one at least. Rows that share a doc_id and a language count once.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    per_lang = max(1, min(docs_per_lang, total_docs // max(1, known.agg(F.approx_count_distinct("lang")).first()[0])))
+    keys = known.groupBy("lang", "doc_id").agg(F.min(F.length("text") > short).alias("long"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    picked = keys.withColumn("nth", rank).where(F.col("nth") <= per_lang).select("lang", "doc_id")
+    rows = known.join(F.broadcast(picked), (known["lang"] == picked["lang"]) & known["doc_id"].eqNullSafe(picked["doc_id"]), "left_semi")
+    out: dict[str, list[str]] = {}
+    for lang, text in rows.groupBy("lang", "doc_id").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text")).select("lang", "text").collect():
+        out.setdefault(lang, []).append(text)
     return {k: sorted(v) for k, v in out.items()}
 
 

@@ -5,20 +5,27 @@ characters may be met with k = m // CHARS_PER_EDIT edits; cut into k + 1 pieces,
 Aho-Corasick pass finds all intact pieces in a text, and Myers' bit-parallel distance verifies the window each hit points at.
 Items that normalise to nothing never match; items shorter than `CHARS_PER_EDIT` need an exact occurrence between word ends. A
 null or empty text matches nothing. The benchmark is broadcast, so its size is checked against `max_items_chars`; a larger one is
-handled in several passes of that size over the documents. Repeated item ids keep their smallest normalised text order; ties between places go to the first.
+handled in several passes of that size over the documents, of which the driver holds one part at a time. Items that share an id (null included) are
+one item with several texts, of which the best place counts; ties between places go to the first. Ids may have any type. Repeated documents are
+judged each; empty tables give no rows; of clashing or extra columns only those named here are read, and `clean` returns all.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from .store import worker_state
+
 CHARS_PER_EDIT = 16
 _GAP = re.compile(r"[\W_]+")
 
@@ -53,8 +60,8 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Items:
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT):
-        self.items = [(i, n) for i, n in sorted({(i, normal(t or "")) for i, t in items}) if n]
+    def __init__(self, items: list[tuple], chars_per_edit: int = CHARS_PER_EDIT):
+        self.items = sorted({(i, n) for i, t in items if (n := normal(t or ""))}, key=lambda x: (x[0] is not None, x[0], x[1]) if x[0] is not None else (False, 0, x[1]))
         self.budget = [len(n) // chars_per_edit for _, n in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for nth, ((_, n), k) in enumerate(zip(self.items, self.budget, strict=True)):
@@ -67,7 +74,7 @@ class Items:
         if places:
             self.machine.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str) -> list[tuple]:
         """(item id, distance, start, end) in the normalised text: the best place of each item that occurs within its budget."""
         if not self.items:
             return []
@@ -78,29 +85,30 @@ class Items:
         out: dict[int, tuple[int, int, int]] = {}
         for nth, diagonals in hits.items():
             ident, pattern = self.items[nth]
-            k, m, done = self.budget[nth], len(pattern), -1
-            for d in sorted(diagonals):
-                a, b = max(0, d - k), min(len(text), d + m + k)
+            k, m = self.budget[nth], len(pattern)
+            for first, last in _stretches(sorted(diagonals), 2 * k):
                 if k == 0:
-                    if text[d : d + m] != pattern or m < CHARS_PER_EDIT and not ((d == 0 or text[d - 1] == " ") and text[d + m : d + m + 1] in ("", " ")):
+                    if text[first : first + m] != pattern or m < CHARS_PER_EDIT and not ((first == 0 or text[first - 1] == " ") and text[first + m : first + m + 1] in ("", " ")):
                         continue
-                    found = (0, d, d + m)
-                elif d < done:
-                    continue
+                    found = (0, first, first + m)
                 else:
-                    # neighbouring diagonals share one window
-                    run = d
-                    for x in sorted(y for y in diagonals if d < y <= d + 8 * k):
-                        if x - run <= 2 * k:
-                            run = x
-                    b, done = min(len(text), run + m + k), run + 1
-                    best, end = myers(pattern, text[a:b])
+                    a = max(0, first - k)
+                    best, end = myers(pattern, text[a : last + m + k])
                     if best > k:
                         continue
-                    _, back = myers(pattern[::-1], text[a : a + end][::-1][: m + k])
+                    _, back = myers(pattern[::-1], text[max(a, a + end - m - k) : a + end][::-1])
                     found = (best, a + end - back, a + end)
                 out[ident] = min(out.get(ident, (1 << 30, 0, 0)), found)
-        return [(i, *v) for i, v in sorted(out.items())]
+        return [(i, *v) for i, v in sorted(out.items(), key=lambda x: (x[0] is not None, x[0]) if x[0] is not None else (False, 0))]
+
+
+def _stretches(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of each run of ascending diagonals no more than `gap` apart, which share one window; with no gap each alone."""
+    at = 0
+    for i in range(1, len(diagonals) + 1):
+        if i == len(diagonals) or not gap or diagonals[i] - diagonals[i - 1] > gap:
+            yield diagonals[at], diagonals[i - 1]
+            at = i
 
 
 def original_span(text: str, start: int, end: int) -> tuple[int, int]:
@@ -119,35 +127,44 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return places[start], places[end - 1] + 1
 
 
-def _groups(items: DataFrame, max_items_chars: int) -> list[list[tuple[int, str]]]:
-    """The items, in lists of bounded size."""
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        if size + len(r[1]) > max_items_chars and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += len(r[1])
-    return out
+def _groups(items: DataFrame, max_items_chars: int) -> Iterator[list[tuple]]:
+    """The items, in lists of bounded size; one list, if empty, at least."""
+    group: list[tuple] = []
+    size, some = 0, False
+    for ident, text in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+        if size + len(text) > max_items_chars and group:
+            yield group
+            group, size, some = [], 0, True
+        group.append((ident, text))
+        size += len(text)
+    if group or not some:
+        yield group
+
+
+def _known(shared: Broadcast, key: str, chars_per_edit: int) -> Items:
+    return worker_state(key, lambda: Items(shared.value, chars_per_edit))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_000_000, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """A row (doc_id, item_id, distance, start, end) for each document and item it holds; start and end are code points of the text."""
+    """A row (doc_id, item_id, distance, start, end) for each document and item it holds; start and end are code points of the text.
+
+    Texts of one id that are more than a pass apart are reported by each pass.
+    """
     out = None
     schema = StructType([docs.schema["doc_id"], items.schema["item_id"]]).add("distance", IntegerType()).add("start", LongType()).add("end", LongType())
+    kinds = to_arrow_schema(schema)
     for group in _groups(items, max_items_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(group)
+        shared, key = docs.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(shared.value, chars_per_edit)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            known = _known(shared, key, chars_per_edit)
             for b in batches:
                 found: list[list] = [[], [], [], [], []]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     for item, distance, start, end in known.find(normal(text)) if text else ():
                         for column, v in zip(found, (doc, item, distance, *original_span(text, start, end)), strict=True):
                             column.append(v)
-                yield pa.record_batch([pa.array(found[0], b.schema.field(0).type), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())], names=["doc_id", "item_id", "distance", "start", "end"])
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(found, kinds, strict=True)], names=kinds.names)
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -156,13 +173,13 @@ def contaminated(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_00
 
 def clean(docs: DataFrame, items: DataFrame, max_items_chars: int = 50_000_000, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The rows of docs that hold no item; a pass over the documents, no shuffle."""
+    at = docs.columns.index("text")
     for group in _groups(items, max_items_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(group)
+        shared, key = docs.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(shared.value, chars_per_edit)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            known = _known(shared, key, chars_per_edit)
             for b in batches:
-                at = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not (t and known.find(normal(t))) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

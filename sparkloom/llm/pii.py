@@ -2,8 +2,10 @@
 
 Base generators (email, ip, card, phone) are exact formats whose spans always stay. Further generators propose masked mail addresses, defanged
 addresses and numbers written without a country code or with other separators; a small gradient-boosted model over
-format and context features, trained here on a seeded synthetic set and calibrated on a held-out part of it, selects among them. Of overlapping selected
-spans the most probable stays (ties: first start, then kind order). Null and empty texts have no spans. Positions are code points, end exclusive.
+format and context features, trained here on a seeded synthetic set, selects among them; its map to probabilities and each kind's threshold are calibrated on
+spans of other formats and contexts than those it was trained on. A card number must pass Luhn to be proposed. Of overlapping selected spans the most probable stays (ties: first start,
+then kind order). Null and empty texts have no spans. Positions are code points, end exclusive. Rows are judged one by one: repeated ones alike, none in an empty table;
+result columns stand beside those kept by name.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def _emails(text: str) -> Iterator[Span]:
 def base_spans(text: str) -> list[Span]:
     out = list(_emails(text))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0") or "0") < 4 and int(q) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
@@ -88,10 +90,11 @@ def candidates(text: str) -> list[Span]:
             out += [("email", *m.span()) for m in _MASKED.finditer(text)]
     out += [("ip", *m.span()) for m in _FANGED.finditer(text)]
     for m in _NUMBER.finditer(text):
-        d = len(_digits(m[0]))
+        digits = _digits(m[0])
+        d = len(digits)
         if 7 <= d <= 15:
             out.append(("phone", *m.span()))
-        if 12 <= d <= 19:
+        if 12 <= d <= 19 and luhn(digits):
             out.append(("card", *m.span()))
     return out
 
@@ -108,11 +111,11 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def _synthetic(n: int, seed: int) -> tuple[list[list[float]], list[int]]:
-    """Labelled spans in short contexts, made from templates."""
+def _synthetic(n: int, seed: int, other: bool = False) -> tuple[list[list[float]], list[int]]:
+    """Labelled spans in short contexts, made from templates; `other` ones differ in formats, cues and words."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    words = "the of and ra lo zu der une las with notes order item page total value section".split()
+    words = ("some from which part chapter volume dans les wir und para que box unit grade" if other else "the of and ra lo zu der une las with notes order item page total value section").split()
     x, y = [], []
 
     def add(kind: str, s: str, label: int, cue: str = "") -> None:
@@ -127,31 +130,36 @@ def _synthetic(n: int, seed: int) -> tuple[list[list[float]], list[int]]:
 
     cues = {"phone": ["call", "phone:", "tel.", "mobile", "", ""], "card": ["card", "visa", ""], "email": ["mail", "contact", ""], "ip": ["host", "ip", ""]}
     for _ in range(n):
+        c, o = card(), [str(r.randrange(256)) for _ in range(4)]
+        if other:
+            add("phone", r.choice([f"({d(4)}) {d(3)} {d(3)}", f"0{d(3)}-{d(3)}-{d(4)}", f"{d(3)}/{d(3)}-{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]), 1, r.choice(["fax", "whatsapp", "phone", "contact us:"]))
+            add("email", f"{r.choice(words)}.{r.choice(words)}{r.choice(['(at)', ' [at] ', ' AT '])}{r.choice(words)}{d(1)}{r.choice(['(dot)', ' [dot] ', ' DOT '])}{r.choice(['org', 'net', 'de'])}", 1, r.choice(["write to", "e-mail", ""]))
+            add("ip", r.choice(["[.]", "[dot]"]).join(o), 1, r.choice(["server", "from", "addr"]))
+            add("card", f"{c[:6]}.{c[6:12]}.{c[12:]}" if r.random() < 0.5 else f"{c[:4]}/{c[4:8]}/{c[8:12]}/{c[12:]}", 1, r.choice(["payment by", "credit card", ""]))
+            add("phone", r.choice([f"{d(3)}-{d(1)}{d(2)}-{d(4)}-0", f"19{d(2)}/{r.randrange(1, 13):02d}/{r.randrange(1, 29):02d}", f"{r.randrange(1, 29):02d}.{r.randrange(1, 13):02d}.19{d(2)}", f"{d(4)}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}"]), 0, r.choice(["isbn", "page", "no.", ""]))
+            add("email", f"{r.choice(words)} at {r.choice(words)}. {r.choice(words)}", 0)
+            add("ip", " . ".join(d(2) for _ in range(4)), 0, r.choice(["version", ""]))
+            continue
         add("phone", r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(4)}-{d(4)}"]), 1, r.choice(cues["phone"]))
         add("phone", r.choice([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}"]), 1, r.choice(cues["phone"][:4]))
         at, dot = r.choice([("[at]", "[dot]"), (" (at) ", "."), (" at ", " dot "), ("{at}", "{dot}")])
         add("email", f"{r.choice(words)}{d(2)}{at}{r.choice(words)}mail{dot}com", 1, r.choice(cues["email"]))
-        o = [str(r.randrange(256)) for _ in range(4)]
         add("ip", r.choice(["[.]", "(.)", "[dot]"]).join(o), 1, r.choice(cues["ip"]))
-        c = card()
         add("card", f"{c[:4]}/{c[4:8]}/{c[8:12]}/{c[12:]}" if r.random() < 0.3 else f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}", 1, r.choice(cues["card"]))
         add("phone", f"20{d(2)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", 0)
         add("phone", r.choice([f"{d(2)} {d(2)} {d(3)}", f"{d(4)} {d(4)}", f"{d(5)} {d(5)}", f"{d(3)}/{d(4)}", f"{d(2)}.{d(2)}.20{d(2)}"]), 0)
         add("phone", f"{d(4)} {d(4)} {d(4)}", 0)
-        e = d(16)
-        add("card", f"{e[:4]}.{e[4:8]}.{e[8:12]}.{e[12:]}", int(luhn(e)))
+        add("card", r.choice([f"{c[:2]}.{c[2:4]}.{c[4:8]} {c[8:12]}.{c[12:]}", f"{c[:3]} {c[3:6]} {c[6:9]} {c[9:12]} {c[12:]}"]), 0)
         add("email", f"{r.choice(words)} at {r.choice(words)}.{r.choice(words)}", 0)
         add("ip", " . ".join(d(3) for _ in range(4)), 0)
     return x, y
 
 
 class BoostedTrees:
-    """Depth-2 regression trees on the logistic loss, Newton leaves; a Platt map and a threshold are set on held-out rows."""
+    """Depth-2 regression trees on the logistic loss, Newton leaves; a Platt map and a threshold for each kind (the first feature) are set on the rows `held`."""
 
-    def __init__(self, x: list[list[float]], y: list[int], rounds: int = 40, rate: float = 0.3, precision: float = 0.98):
-        data, labels = np.array(x, float), np.array(y, float)
-        held = np.arange(len(labels)) % 4 == 0
-        a, t = data[~held], labels[~held]
+    def __init__(self, x: list[list[float]], y: list[int], held: tuple[list[list[float]], list[int]], rounds: int = 40, rate: float = 0.3, precision: float = 0.95):
+        a, t = np.array(x, float), np.array(y, float)
         self.rate, self.trees = rate, []
         score = np.zeros(len(t))
         cuts = [np.unique(np.quantile(a[:, j], np.linspace(0.05, 0.95, 19))) for j in range(a.shape[1])]
@@ -161,8 +169,9 @@ class BoostedTrees:
             tree = self._split(a, g, h, cuts, 2)
             self.trees.append(tree)
             score += rate * self._apply(tree, a)
-        # Platt calibration by a few Newton steps, then the lowest threshold that keeps the precision asked for
-        s, truth = self.raw(data[held]), labels[held]
+        # Platt calibration by a few Newton steps, then for each kind the lowest threshold that keeps the precision asked for
+        seen, truth = np.array(held[0], float), np.array(held[1], float)
+        s = self.raw(seen)
         w = np.array([1.0, 0.0])
         z = np.stack([s, np.ones_like(s)], 1)
         for _ in range(25):
@@ -170,11 +179,14 @@ class BoostedTrees:
             hess = z.T @ (z * (q * (1 - q))[:, None]) + 1e-3 * np.eye(2)
             w = w + np.linalg.solve(hess, z.T @ (truth - q) - 1e-3 * w)
         self.platt = w
-        prob = self.probability(data[held])
-        order = np.argsort(-prob, kind="stable")
-        good = np.cumsum(truth[order]) / np.arange(1, len(order) + 1) >= precision
-        last = np.flatnonzero(good)
-        self.threshold = max(0.5, float(prob[order][last[-1]])) if len(last) else 1.1
+        prob = self.probability(seen)
+        self.thresholds = {}
+        for nth, kind in enumerate(KINDS):
+            own = np.flatnonzero(seen[:, 0] == nth)
+            values = np.unique(prob[own])
+            good = [v for v in values if truth[own][prob[own] >= v].mean() >= precision]
+            # halfway to the next lower candidate
+            self.thresholds[kind] = float(good[0] + max(values[values < good[0]], default=0)) / 2 if good else 1.1
 
     def _split(self, a, g, h, cuts, depth):
         leaf = float(g.sum() / (h.sum() + 1.0))
@@ -211,7 +223,7 @@ class BoostedTrees:
 
 @lru_cache(maxsize=4)
 def model(examples: int = 250, seed: int = 7) -> BoostedTrees:
-    return BoostedTrees(*_synthetic(examples, seed))
+    return BoostedTrees(*_synthetic(examples, seed), _synthetic(examples, seed + 1, other=True))
 
 
 def find_spans(texts: list[str | None], judge: BoostedTrees) -> list[tuple[list[Span], list[Span]]]:
@@ -224,7 +236,7 @@ def find_spans(texts: list[str | None], judge: BoostedTrees) -> list[tuple[list[
     out = [list(b) for b in base]
     if open_:
         p = judge.probability(np.array([features(texts[i], s) for i, s in open_], float))
-        rank = sorted((-round(float(q), 9), i, s[1], KINDS.index(s[0]), s) for q, (i, s) in zip(p, open_, strict=True) if q >= judge.threshold)
+        rank = sorted((-round(float(q), 9), i, s[1], KINDS.index(s[0]), s) for q, (i, s) in zip(p, open_, strict=True) if q >= judge.thresholds[s[0]])
         taken: dict[int, list[Span]] = {}
         for _, i, _, _, s in rank:
             if all(s[2] <= o[1] or o[2] <= s[1] for o in taken.get(i, ())):

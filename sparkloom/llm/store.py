@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -29,11 +31,15 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back; removed when the driver exits."""
+    """Writes df as Parquet under the shared folder and reads it back; removed when the driver exits.
+
+    Shuffle files of the finished write go with their last reference in the driver's JVM, so it is asked to look for those.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     atexit.register(_drop, spark, path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

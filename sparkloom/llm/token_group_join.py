@@ -13,7 +13,8 @@ A document's set holds its distinct word shingles. Two documents link when 100 x
 No pairs are formed within a group, and no link between different texts is lost.
 
 Null, empty and white-space texts have an empty set, link with nothing and are their own component. A text of fewer words than a shingle has one shingle.
-Rows that share a doc_id are one document with the links of all its texts; each row is returned.
+Rows that share a doc_id are one document with the links of all its texts; each row is returned. A row without doc_id has its n_shingles and a null component,
+and links with nothing. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class _Words(dict):
         return h
 
 
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -245,4 +245,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     label = components(close.unionByName(single).unionByName(far).unionByName(several))
     out = member.join(label, member["rep"] == label["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty)
+
+    def sizes_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.record_batch([none, pa.array([len(shingles(t, size)) for t in b.column(0).to_pylist()], pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+
+    keyless = docs.where("doc_id is null").select("text").mapInArrow(sizes_only, "doc_id bigint, n_shingles bigint, component_id bigint")
+    return out.unionByName(empty).unionByName(keyless)
