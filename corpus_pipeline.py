@@ -46,8 +46,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their number of tokens and the digests of ids, decoded text and words."""
-    return bpe_stream.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), _row(docs)).select("__row.*", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256")
+    """The documents with their number of tokens and the digests of ids, decoded text and words, which take the place of columns of these names."""
+    new = ("n_tokens", "ids_sha256", "decoded_sha256", "text_sha256")
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c.lower() not in new]
+    return bpe_stream.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), _row(docs)).select(*kept, *new)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("benchmark_decontamination", benchmark_decontamination), ("personal_data", personal_data), ("bpe_round_trip", bpe_round_trip)]
