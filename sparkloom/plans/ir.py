@@ -279,6 +279,9 @@ class Emitter:
             case Project(DistinctOn(child, keys, order), items, False) if self.dialect in DISTINCT_ON:
                 at = self._below(child)
                 return f"SELECT DISTINCT ON ({', '.join(map(self.text, keys))}) {self.items(items)} {at} ORDER BY {', '.join(self.text(k) for k in keys)}, {', '.join(map(self.key, order))}"
+            case Project(DistinctOn(child, keys, order), items, False):
+                inner = f"SELECT {self.items(items)}, row_number() OVER (PARTITION BY {', '.join(map(self.text, keys))} ORDER BY {', '.join(map(self.key, order))}) AS nth__ {self._below(child)}"
+                return f"SELECT {', '.join(n for _, n in items)} FROM ({inner}) AS r WHERE nth__ = 1"
             case Project(child, items, distinct):
                 return f"SELECT {'DISTINCT ' * distinct}{self.items(items)}{' ' + self._below(child) if child != Scan(DUAL) else ''}"
             case Aggregate(child, keys, measures, having):

@@ -140,7 +140,7 @@ def decorrelate(node: ir.Node) -> ir.Node:
     def rule(n: ir.Node) -> ir.Node:
         if not isinstance(n, ir.Filter):
             return n
-        plain, child, drop = [], n.child, []
+        plain, child = [], n.child
         for c in n.conjuncts:
             e = X.parse(c)
             if not any(x.op in ("exists", "in query", "scalar") for x in e.walk()):
@@ -154,9 +154,7 @@ def decorrelate(node: ir.Node) -> ir.Node:
             else:
                 child, new = _scalars(child, e, nth)
                 plain.append(X.to_text(new))
-                drop.append(nth[0])
-        out = ir.Filter(child, tuple(plain)) if plain else child
-        return out
+        return ir.Filter(child, tuple(plain)) if plain else child
 
     return node.rewritten(rule)
 
@@ -220,7 +218,8 @@ def _scalars(child: ir.Node, e: E, nth: list[int]) -> tuple[ir.Node, E]:
         holder[0] = ir.Join(holder[0], ir.Alias(ir.Project(sub.child, ((sub.items[0][0], f"{side}_value"),)), side), "cross")
         return X.col(f"{side}_value", side)
 
-    return holder[0], e.map(rule)
+    new = e.map(rule)
+    return holder[0], new
 
 
 # ---- over a view

@@ -67,7 +67,7 @@ _plan("P04_distinct_on", ir.Project(ir.DistinctOn(ir.Scan("orders"), ("o_custkey
 _sql("P05_star", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
 _sql("P07_literal", "SELECT n_name, 7 AS seven, 'a' AS a FROM nation")
 _sql("P08_comparison", "SELECT count(*) AS n FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_linenumber <> 3 AND l_discount <= 0.05 AND l_tax > 0.01")
-_sql("P09_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%1'")
+_sql("P09_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%l%_et'")
 _sql("P10_ilike", "SELECT count(*) AS n FROM customer WHERE c_mktsegment ILIKE 'bUILD%'")
 _sql("P11_in_list", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey NOT IN (2, 4)")
 _sql("P12_is_null", "SELECT count(*) AS n FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS k FROM orders) AS t WHERE k IS NULL")
@@ -90,7 +90,7 @@ _plan("J05_full", ir.Project(ir.Join(_few, _asia, "full", _on), _pick), "SELECT
 _plan("J06_cross", ir.Project(ir.Join(_nation, _region, "cross"), _pick), "SELECT n_name, r_name FROM nation CROSS JOIN region")
 _rich = ir.Filter(ir.Scan("orders", "o"), ("o.o_totalprice > 250000",))
 _plan("J07_left_semi", ir.Project(ir.Join(ir.Scan("customer", "c"), _rich, "left_semi", ("c.c_custkey = o.o_custkey",)), (("c.c_custkey", "c_custkey"),)), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
-_plan("J08_left_anti", ir.Project(ir.Join(ir.Scan("customer", "c"), ir.Scan("orders", "o"), "left_anti", ("c.c_custkey = o.o_custkey",)), (("c.c_custkey", "c_custkey"),)), "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey)")
+_plan("J08_left_anti", ir.Project(ir.Join(ir.Scan("customer", "c"), _rich, "left_anti", ("c.c_custkey = o.o_custkey",)), (("c.c_custkey", "c_custkey"),)), "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 250000)")
 _plan("J09_theta", ir.Project(ir.Join(_nation, _region, "inner", ("n.n_regionkey < r.r_regionkey",)), _pick), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 _sql("J10_lateral", "SELECT r.r_name, t.n FROM region r, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r.r_regionkey) AS t")
 _sql("J11_self_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -135,9 +135,9 @@ _plan("O01_sort_limit", ir.Limit(ir.Sort(ir.Project(ir.Scan("orders"), (("o_orde
 _sql("O03_nulls_order", "SELECT k, v FROM (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders) AS t ORDER BY v ASC NULLS LAST, k LIMIT 10")
 _plan("O05_offset", ir.Limit(ir.Sort(ir.Project(ir.Scan("part"), (("p_partkey", "k"),)), ("k",)), 10, 5), "SELECT p_partkey AS k FROM part ORDER BY k LIMIT 10 OFFSET 5")
 _a = ir.Project(ir.Scan("customer"), (("c_nationkey", "k"),))
-_b = ir.Project(ir.Scan("supplier"), (("s_nationkey", "k"),))
+_b = ir.Project(ir.Filter(ir.Scan("supplier"), ("s_acctbal > 3000",)), (("s_nationkey", "k"),))
 for _name, _kind, _all in (("U01_union", "union", False), ("U02_union_all", "union", True), ("U03_except", "except", False), ("U04_intersect", "intersect", False), ("U05_intersect_all", "intersect", True), ("U06_except_all", "except", True)):
-    _plan(_name, ir.SetOp(_a, _b, _kind, _all), f"SELECT c_nationkey AS k FROM customer {_kind.upper()}{' ALL' * _all} SELECT s_nationkey AS k FROM supplier")
+    _plan(_name, ir.SetOp(_a, _b, _kind, _all), f"SELECT c_nationkey AS k FROM customer {_kind.upper()}{' ALL' * _all} SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000")
 _sql("U07_with", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, count(*) AS m FROM a GROUP BY n) SELECT n, m FROM b")
 _sql("U08_cte_columns", "WITH a(x, y) AS (SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey) SELECT x, y FROM a")
 _sql("U09_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
@@ -162,21 +162,23 @@ _EVENTS = """
       CASE event_type WHEN 'view' THEN 'SELECT * FROM orders JOIN customer ON 1 = 1 WHERE k = ' || CAST(user_id AS STRING_)
                       WHEN 'click' THEN 'select  *  from lineitem where x = ''' || event_type || ''''
                       WHEN 'purchase' THEN 'INSERT INTO sales SELECT * FROM orders'
-                      WHEN 'signup' THEN 'UPDATE customer SET x = 1' ELSE 'DELETE FROM part' END AS sql,
-      CASE event_type WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'UPDATE' WHEN 'error' THEN 'DELETE' ELSE 'SELECT' END AS query_type,
+                      WHEN 'signup' THEN 'UPDATE customer SET x = 1' ELSE 'SELECT EXTRACT(year FROM ts) -- it''s fine' || chr(10) || ' FROM part AS p, "nation" WHERE a = ''x--y'' ' END AS sql,
+      CASE event_type WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'UPDATE' ELSE 'SELECT' END AS query_type,
       CASE WHEN user_id % 7 = 0 THEN 'etl-worker' WHEN user_id % 7 = 1 THEN 'svc_api' ELSE 'console' END AS source_name,
       CASE WHEN user_id % 11 = 0 THEN NULL ELSE 'u' || CAST(user_id AS STRING_) END AS database_user,
       CASE WHEN user_id % 13 = 0 THEN 'dag' END AS dag_id, CASE WHEN user_id % 5 = 0 THEN 'application' END AS consumer,
-      CAST(floor(value * 100) AS BIGINT) AS bytes
+      CAST(floor(value * 100) AS BIGINT) AS bytes, CASE WHEN user_id % 17 = 0 THEN 'nightly' END AS label_dag
     FROM events"""
 _DUCK = _EVENTS.replace("STRING_", "VARCHAR")
-_CLASS = "CASE WHEN coalesce(dag_id, '') <> '' OR consumer = 'airflow' THEN 'scheduled' WHEN regexp_matches(lower(coalesce(source_name, '')), '(etl|batch|pipeline|loader|importer|sync|worker)') OR regexp_matches(lower(coalesce(database_user, '')), '(etl|batch|pipeline|loader|importer|sync|worker)') THEN 'batch' WHEN consumer = 'application' OR regexp_matches(lower(coalesce(source_name, '')), '(svc[_-]|service[_-]|sa[_-]|robot[_-]|bot[_-]|automation)') OR regexp_matches(lower(coalesce(database_user, '')), '(svc[_-]|service[_-]|sa[_-]|robot[_-]|bot[_-]|automation)') THEN 'service_account' ELSE 'ad_hoc' END"
-_NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(sql, '''(?:[^'']|'''')*''', '?', 'g'), '\\b[0-9]+(\\.[0-9]+)?\\b', '?', 'g'), '\\s+', ' ', 'g')))"
-_REFS = "list_sort(list_distinct(list_transform(regexp_extract_all(sql, '(?i)\\b(?:from|join)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda x: lower(x))))"
+_HIT = " OR ".join(f"regexp_matches(lower(coalesce({c}, '')), '{{p}}')" for c in ("source_name", "database_user"))
+_CLASS = f"CASE WHEN coalesce(dag_id, '') <> '' OR coalesce(label_dag, '') <> '' OR consumer = 'airflow' THEN 'scheduled' WHEN {_HIT.format(p=sqltext.BATCH)} THEN 'batch' WHEN consumer = 'application' OR {_HIT.format(p=sqltext.SERVICE)} THEN 'service_account' ELSE 'ad_hoc' END"
+_NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(replace(sql, '-- it''s fine', ' '), '''(?:[^'']|'''')*''', '?', 'g'), '\\b[0-9]+(\\.[0-9]+)?\\b', '?', 'g'), '\\s+', ' ', 'g')))"
+_REFS = "CASE WHEN starts_with(sql, 'SELECT EXTRACT') THEN ['nation', 'part'] ELSE list_sort(list_distinct(list_transform(regexp_extract_all(sql, '(?i)\\b(?:from|join)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1), lambda x: lower(x)))) END"
 
 
 def query_events(spark: SparkSession, d: str) -> DataFrame:
-    return run_sql(spark, d, _EVENTS.replace("STRING_", "STRING")).withColumn("tables", sqltext.table_refs(F.col("sql")))
+    e = run_sql(spark, d, _EVENTS.replace("STRING_", "STRING"))
+    return e.withColumn("labels", F.create_map(F.lit("airflow_dag"), F.col("label_dag"))).withColumn("tables", sqltext.table_refs(F.col("sql")))
 
 
 @_query("B01_source_type", f"SELECT event_id, {_CLASS} AS source_type FROM ({_DUCK})")
@@ -194,7 +196,7 @@ def _b03(spark, d):
     return query_events(spark, d).select("event_id", sqltext.fingerprint(sqltext.normalized(F.col("sql"))).alias("query_hash"))
 
 
-@_query("B04_frequent_queries", f"SELECT substr(sha256({_NORM}), 1, 16) AS query_hash, count(*) AS n, arg_min(sql, (captured_at, sql)) AS sample, round(avg(duration_ms), 6) AS avg_ms, array_to_string(list_sort(list(DISTINCT {_CLASS})), ',') AS source_types FROM ({_DUCK}) GROUP BY 1")
+@_query("B04_frequent_queries", f"SELECT substr(sha256({_NORM}), 1, 16) AS query_hash, count(*) AS n, arg_min(sql, (captured_at, sql)) AS sample, round(avg(duration_ms), 6) AS avg_ms, round(avg(bytes), 6) AS avg_bytes, array_to_string(list_sort(list(DISTINCT {_CLASS})), ',') AS source_types FROM ({_DUCK}) GROUP BY 1")
 def _b04(spark, d):
     return traffic.frequent(query_events(spark, d))
 
@@ -216,19 +218,25 @@ def _b10(spark, d):
     return e.select("event_id", who.alias("w")).select("event_id", F.col("w.name").alias("name"), F.col("w.confidence").alias("confidence"))
 
 
-@_query("B12_consumer_name", "SELECT * FROM (VALUES ('Backoffice-v2:production', 'backoffice'), ('api-staging', 'api'), ('worker', 'worker'), ('web-v1.2-prod', 'web')) AS t(raw, name)")
+_NAMES = "SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'Backoffice-v2:production' WHEN 1 THEN 'api-staging' WHEN 2 THEN 'worker' WHEN 3 THEN 'web-v1.2-prod' WHEN 4 THEN 'svc:8080' WHEN 5 THEN 'team-qa' WHEN 6 THEN 'appv2' WHEN 7 THEN 'app-2.5' ELSE 'x-sandbox:local' END || CASE WHEN c_custkey % 2 = 0 THEN '-testing' ELSE '' END AS raw FROM customer"
+_ENDS = "|".join(sqltext.ENVIRONMENTS)
+_STEP = f"trim(regexp_replace(regexp_replace(regexp_replace({{x}}, ':({_ENDS})$', ''), '-({_ENDS})$', ''), '-v?[0-9]+([.][0-9]+)*$', ''))"
+
+
+@_query("B12_consumer_name", f"SELECT c_custkey, {_STEP.format(x=_STEP.format(x=_STEP.format(x='lower(raw)')))} AS name FROM ({_NAMES})")
 def _b12(spark, d):
-    return spark.createDataFrame([(x,) for x in ("Backoffice-v2:production", "api-staging", "worker", "web-v1.2-prod")], "raw string").select("raw", sqltext.consumer_name(F.col("raw")).alias("name"))
+    """Three passes of the oracle reach the fixed point of these names."""
+    return run_sql(spark, d, _NAMES).select("c_custkey", sqltext.consumer_name(F.col("raw")).alias("name"))
 
 
-@_query("T10_statement_target", f"SELECT event_id, lower(regexp_extract(sql, '(?i)\\b(?:insert\\s+into|create\\s+table)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS target FROM ({_DUCK})")
+@_query("T10_statement_target", f"SELECT event_id, lower(regexp_extract(sql, '(?i)(?:insert\\s+into|create\\s+table|^update|^delete\\s+from)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS target FROM ({_DUCK})")
 def _t10(spark, d):
     return query_events(spark, d).select("event_id", sqltext.write_target(F.col("sql")).alias("target"))
 
 
 @_query("I03_incremental_pull", f"SELECT count(*) AS n FROM ({_DUCK}) WHERE captured_at > TIMESTAMP '2024-01-15 00:00:00'")
 def _i03(spark, d):
-    return traffic.since(query_events(spark, d), "2024-01-15 00:00:00")[0].agg(F.count("*").alias("n"))
+    return traffic.since(query_events(spark, d), "2024-01-15 00:00:00").agg(F.count("*").alias("n"))
 
 
 # Lineage
@@ -243,11 +251,12 @@ def _g02(spark, d):
     return graph.inferred(run_sql(spark, d, _SEEN.replace("STRING_", "STRING")), "1998-12-01")
 
 
-@_query("G03_cross_system", "SELECT a.n_name AS name, a.n_regionkey AS src, b.n_regionkey AS dst FROM nation a JOIN nation b ON lower(a.n_name) = lower(b.n_name) AND a.n_regionkey <> b.n_regionkey")
+_TWO_SYSTEMS = "SELECT 'pg' AS system, 'main.' || lower(p_brand) AS name FROM part UNION ALL SELECT 'bq', 'ds.' || p_brand FROM part WHERE p_size > 10 UNION ALL SELECT 'dbt', p_brand || '_' || CAST(p_size AS STRING_) FROM part"
+
+
+@_query("G03_cross_system", f"WITH t AS (SELECT DISTINCT system, name, lower(split_part(name, '.', -1)) AS bare FROM ({_TWO_SYSTEMS.replace('STRING_', 'VARCHAR')})), f AS (SELECT bare, system, min(name) AS name FROM t GROUP BY 1, 2) SELECT a.system || '::' || a.name AS source, b.system || '::' || b.name AS target, 0.5::DOUBLE AS confidence FROM f a JOIN f b ON a.bare = b.bare AND a.system <> b.system")
 def _g03(spark, d):
-    n = run_sql(spark, d, "SELECT lower(n_name) AS key, n_name, n_regionkey FROM nation")
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.n_regionkey") != F.col("b.n_regionkey"))).select(F.col("a.n_name").alias("name"), F.col("a.n_regionkey").alias("src"), F.col("b.n_regionkey").alias("dst"))
+    return graph.cross_system(run_sql(spark, d, _TWO_SYSTEMS.replace("STRING_", "STRING")))
 
 
 @_query("G04_declared_first", f"WITH e AS ({_EDGES}) SELECT source, target, 1.0::DOUBLE AS confidence FROM e WHERE source < 'p' UNION ALL SELECT source, target, 0.5::DOUBLE FROM e WHERE NOT source < 'p'")
@@ -266,22 +275,34 @@ def _g09(spark, d):
     return graph.impact(spark.sql(_EDGES), query_events(spark, d).select("tables", F.lit(1).cast("bigint").alias("executions")), "nation")
 
 
-@_query("G11_graph_status", f"SELECT source, count(*) AS n FROM ({_EDGES}) GROUP BY 1")
+@_query("G11_graph_status", "SELECT 'assets' AS what, '' AS key, count(*) AS n FROM part UNION ALL SELECT 'edges', '', count(*) FROM lineitem UNION ALL SELECT 'queries', '', count(*) FROM orders UNION ALL SELECT 'kind', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'source', p_brand, count(*) FROM part GROUP BY 2")
 def _g11(spark, d):
-    return spark.sql(_EDGES).groupBy("source").agg(F.count("*").alias("n"))
+    return graph.status(run_sql(spark, d, "SELECT p_type AS kind, p_brand AS source FROM part"), run_sql(spark, d, "SELECT l_orderkey FROM lineitem"), run_sql(spark, d, "SELECT o_orderkey FROM orders"))
+
+
+def _objects(spark, d, **o):
+    """Objects of a system, made from the keys of a table."""
+    sql = "SELECT concat('{p}', k) AS object, CASE WHEN k % 5 = 0 THEN NULL ELSE k * {m} END AS row_count, array(named_struct('name', 'id', 'type', '{t}'), named_struct('name', concat('c', k % 3), 'type', 'text'), named_struct('name', 'v{n}', 'type', 'numeric')) AS columns FROM (SELECT DISTINCT {c} % 60 AS k FROM {table})"
+    return run_sql(spark, d, sql.format(**o))
+
+
+_LEFT = {"p": "T", "m": 10, "t": "int", "n": 1, "c": "c_custkey", "table": "customer"}
+_RIGHT = {"p": "t", "m": 7, "t": "bigint", "n": 2, "c": "s_suppkey", "table": "supplier"}
+# of these columns id and one of c0 to c2 are shared, of four names in all, and both have one type
+_MATCH = "SELECT 'T' || CAST(a.k AS VARCHAR) AS source_object, 't' || CAST(b.k AS VARCHAR) AS target_object, CAST(round(CASE WHEN a.k % 5 = 0 THEN (0.5 + 0.3 * 2 / 4 + 0.1) / 0.9 ELSE 0.5 + 0.3 * 2 / 4 + 0.1 + 0.1 * (1 - abs(a.k * 10 - b.k * 7) / greatest(a.k * 10, b.k * 7, 1)) END, 6) AS DOUBLE) AS score, 1::INTEGER AS rank, true AS primary_match FROM (SELECT DISTINCT c_custkey % 60 AS k FROM customer) a JOIN (SELECT DISTINCT s_suppkey % 60 AS k FROM supplier) b ON a.k = b.k"
 
 
-@_query("G14_schema_match", "SELECT * FROM (VALUES ('orders', 'orders', CAST(round((0.5 + 0.3 + 0.1 * 1.0 + 0.1 * 0.9), 6) AS DOUBLE), 1, true), ('users', 'users', CAST(round((0.5 + 0.3 / 3 + 0.1 * 0.5) / 0.9, 6) AS DOUBLE), 1, true)) AS t(source_object, target_object, score, rank, primary_match)")
+@_query("G14_schema_match", _MATCH)
 def _g14(spark, d):
-    kind = "object string, row_count bigint, columns array<struct<name:string,type:string>>"
-    a = spark.createDataFrame([("orders", 100, [("id", "uuid"), ("amount", "numeric"), ("created_at", "timestamp with time zone")]), ("users", None, [("id", "integer"), ("a", "text")])], kind)
-    b = spark.createDataFrame([("orders", 90, [("id", "STRING"), ("amount", "NUMERIC"), ("created_at", "TIMESTAMP")]), ("users", 5, [("id", "numeric"), ("b", "text")])], kind)
-    return graph.match_scores(a, b)
+    return graph.match_scores(_objects(spark, d, **_LEFT), _objects(spark, d, **_RIGHT))
 
 
-@_query("G15_type_family", "SELECT * FROM (VALUES ('varchar(10)', 'string'), ('BIGINT', 'integer'), ('double precision', 'float'), ('timestamptz', 'timestamp'), ('jsonb', 'json'), ('_int4', 'integer'), ('', 'unknown'), ('decimal(3,1)', 'numeric')) AS t(raw, family)")
+_TYPES = "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'varchar(10)' WHEN 1 THEN 'BIGINT' WHEN 2 THEN 'double precision' WHEN 3 THEN 'timestamptz' WHEN 4 THEN 'jsonb' WHEN 5 THEN '_geo' WHEN 6 THEN '' WHEN 7 THEN 'decimal(3,1)' ELSE 'Odd' END AS raw FROM part"
+
+
+@_query("G15_type_family", f"SELECT p_partkey, CASE raw WHEN 'varchar(10)' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'double precision' THEN 'float' WHEN 'timestamptz' THEN 'timestamp' WHEN 'jsonb' THEN 'json' WHEN '_geo' THEN 'array' WHEN '' THEN 'unknown' WHEN 'decimal(3,1)' THEN 'numeric' ELSE 'odd' END AS family FROM ({_TYPES})")
 def _g15(spark, d):
-    return spark.createDataFrame([(x,) for x in ("varchar(10)", "BIGINT", "double precision", "timestamptz", "jsonb", "_int4", "", "decimal(3,1)")], "raw string").select("raw", sqltext.type_family(F.col("raw")).alias("family"))
+    return run_sql(spark, d, _TYPES).select("p_partkey", sqltext.type_family(F.col("raw")).alias("family"))
 
 
 # Profiles, drift, contracts, store
@@ -298,25 +319,40 @@ def _q02(spark, d):
     return governance.top_values(run_sql(spark, d, "SELECT * FROM customer"), "c_mktsegment")
 
 
-_OLD = "SELECT * FROM (VALUES ('a', 'Id', 'int'), ('a', 'name', 'text'), ('a', 'price', 'real'), ('b', 'x', 'int')) AS t(asset, column_name, type)"
-_NEW = "SELECT * FROM (VALUES ('a', 'id', 'INT'), ('a', 'name', 'varchar'), ('a', 'added', 'int'), ('c', 'y', 'int')) AS t(asset, column_name, type)"
+# column snapshots of two scans, made from parts: assets are brands, columns their part types
+_SCAN = "SELECT DISTINCT p_brand AS asset, {name} AS column_name, CASE WHEN {third} THEN '{t}' ELSE 'text' END AS type FROM (SELECT p_brand, p_type, min(p_size) AS p_size FROM part GROUP BY 1, 2) AS p WHERE {keep}"
+_OLD = _SCAN.format(name="p_type", t="int", keep="p_size % 7 <> 0", third="p_size % 3 = 0")
+_NEW = _SCAN.format(name="upper(p_type)", t="INT", keep="p_size % 5 <> 0 AND p_brand <> 'Brand#5'", third="p_size % 2 = 0")
+_ROWS = "SELECT p_brand AS asset, {n} AS row_count FROM part GROUP BY 1"
+_WAS, _IS = _ROWS.format(n="count(*)"), _ROWS.format(n="count(CASE WHEN p_size > 35 THEN 1 END)")
+_DRIFT = f"""WITH o AS (SELECT asset, lower(column_name) AS c, type AS was FROM ({_OLD})), n AS (SELECT asset, lower(column_name) AS c, type AS now FROM ({_NEW})),
+  gone AS (SELECT DISTINCT asset FROM o WHERE asset NOT IN (SELECT asset FROM n)), j AS (SELECT coalesce(o.asset, n.asset) AS asset, coalesce(o.c, n.c) AS column_name, was, now FROM o FULL JOIN n ON o.asset = n.asset AND o.c = n.c),
+  v AS (SELECT asset, column_name, CASE WHEN was IS NULL THEN 'added_column' WHEN now IS NULL THEN 'removed_column' WHEN lower(was) <> lower(now) THEN 'type_changed' END AS violation FROM j WHERE asset IN (SELECT asset FROM o) AND asset NOT IN (SELECT asset FROM gone)
+    UNION ALL SELECT asset, NULL, 'table_dropped' FROM gone
+    UNION ALL SELECT a.asset, NULL, 'row_count_anomaly' FROM ({_WAS}) a JOIN ({_IS}) b ON a.asset = b.asset WHERE a.asset IN (SELECT asset FROM o) AND a.asset NOT IN (SELECT asset FROM gone) AND a.row_count > 0 AND abs(b.row_count - a.row_count) / a.row_count > 0.5)
+  SELECT asset, column_name, violation, CASE violation WHEN 'added_column' THEN 'info' WHEN 'removed_column' THEN 'warning' WHEN 'row_count_anomaly' THEN 'warning' ELSE 'error' END AS severity FROM v WHERE violation IS NOT NULL"""
+_MODES = "SELECT DISTINCT p_brand AS asset, CASE WHEN p_brand LIKE '%1%' THEN 'enforce' WHEN p_brand LIKE '%2%' THEN 'warn' ELSE 'strange' END AS mode FROM part"
 
 
-@_query("Q04_drift", "SELECT * FROM (VALUES ('a', 'name', 'type_changed', 'error'), ('a', 'price', 'removed_column', 'warning'), ('a', 'added', 'added_column', 'info'), ('b', NULL, 'table_dropped', 'error')) AS t(asset, column_name, violation, severity)")
+@_query("Q04_drift", _DRIFT)
 def _q04(spark, d):
-    return governance.drift(spark.sql(_OLD), spark.sql(_NEW))
+    return governance.drift(run_sql(spark, d, _OLD), run_sql(spark, d, _NEW), run_sql(spark, d, _WAS), run_sql(spark, d, _IS))
 
 
-@_query("Q05_enforcement", "SELECT * FROM (VALUES ('a', 'enforce', 3::BIGINT, true), ('b', 'shadow', 1::BIGINT, false)) AS t(asset, mode, n, blocked)")
+@_query("Q05_enforcement", f"SELECT v.asset, CASE WHEN m.mode IN ('warn', 'enforce') THEN m.mode ELSE 'shadow' END AS mode, count(*) AS n, bool_or(severity = 'error') AND max(m.mode) = 'enforce' AS blocked FROM ({_DRIFT}) v LEFT JOIN ({_MODES}) m ON v.asset = m.asset GROUP BY 1, 2")
 def _q05(spark, d):
-    return governance.enforced(_q04(spark, d), spark.createDataFrame([("a", "enforce"), ("b", "strange")], "asset string, mode string"))
+    return governance.enforced(_q04(spark, d), run_sql(spark, d, _MODES))
+
+
+_SPEC = "SELECT p_brand AS asset, CASE WHEN size % 6 = 0 THEN ' ' ELSE ' ' || p_type END AS column_name, CASE WHEN size % 4 = 0 THEN '' ELSE 'Text' END AS type, size % 2 = 0 AS nullable FROM (SELECT p_brand, p_type, max(p_size) AS size FROM part GROUP BY 1, 2) AS p"
+_HAVE = "SELECT p_brand AS asset, lower(p_type) AS column_name, CASE WHEN size % 3 = 0 THEN 'int' ELSE 'TEXT' END AS type, size % 5 = 0 AS nullable FROM (SELECT p_brand, p_type, min(p_size) AS size FROM part GROUP BY 1, 2) AS p WHERE p_brand <> 'Brand#5' AND size % 4 <> 1"
 
 
-@_query("Q06_contract_issues", "SELECT * FROM (VALUES ('a', 'missing', 'missing_column'), ('a', 'Name', 'type_mismatch'), ('a', 'Name', 'nullability_mismatch'), ('a', '', 'invalid_column'), ('z', 'q', 'missing_snapshot')) AS t(asset, column_name, code)")
+@_query("Q06_contract_issues", f"""WITH s AS (SELECT asset, trim(column_name) AS name, lower(trim(type)) AS want, nullable AS may FROM ({_SPEC})), a AS (SELECT asset, column_name AS key, lower(type) AS has, nullable AS can FROM ({_HAVE})),
+  j AS (SELECT s.*, a.has, a.can, s.asset IN (SELECT asset FROM a) AS known FROM s LEFT JOIN a ON s.asset = a.asset AND lower(s.name) = a.key)
+  SELECT asset, name AS column_name, unnest(CASE WHEN NOT known THEN ['missing_snapshot'] WHEN name = '' THEN ['invalid_column'] WHEN has IS NULL THEN ['missing_column'] ELSE list_filter([CASE WHEN want <> '' AND want <> has THEN 'type_mismatch' END, CASE WHEN NOT may AND can THEN 'nullability_mismatch' END], lambda x: x IS NOT NULL) END) AS code FROM j""")
 def _q06(spark, d):
-    kind = "asset string, column_name string, type string, nullable boolean"
-    spec = spark.createDataFrame([("a", "id", "int", False), ("a", "Name", "text", False), ("a", "missing", "", True), ("a", " ", "", True), ("z", "q", "", True)], kind)
-    return governance.contract_issues(spec, spark.createDataFrame([("a", "ID", "INT", False), ("a", "name", "varchar", True)], kind))
+    return governance.contract_issues(run_sql(spark, d, _SPEC), run_sql(spark, d, _HAVE))
 
 
 @_query("D01_upsert", "SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS v, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen, max(o_orderkey) AS version FROM orders GROUP BY 1")
@@ -325,18 +361,12 @@ def _d01(spark, d):
     return governance.upserted(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), ["id"], "version")
 
 
-_sql("D03_search", "SELECT p_partkey FROM part WHERE p_name ILIKE '%re%'")
-_sql("D10_latest_snapshot", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) AS t WHERE nth = 1")
-_sql("D13_consumers", "SELECT c.c_custkey, array_join(array_sort(collect_list(o.o_orderkey)), ',') AS assets FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey", "SELECT c.c_custkey, coalesce(array_to_string(list_sort(list(o.o_orderkey) FILTER (o.o_orderkey IS NOT NULL)), ','), '') AS assets FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey")
-_sql("D19_unannotated", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
-
-
-@_query("Q21_same_result", "SELECT true AS same")
+@_query("Q21_same_result", "SELECT (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS rows_a, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS rows_b, true AS same")
 def _q21(spark, d):
     """EXISTS and its semi-join form give the same bag."""
-    a = run_sql(spark, d, "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-    b = run_sql(spark, d, "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey")
-    return spark.createDataFrame([(governance.same_rows(a, b),)], "same boolean")
+    a = run_sql(spark, d, "SELECT c_custkey, c_acctbal FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+    b = run_sql(spark, d, "SELECT c_custkey, c_acctbal FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey")
+    return governance.compared(a, b)
 
 
 _WORK = "SELECT o_orderpriority AS cluster, o_orderkey AS query, o_custkey % 5 + 1 AS weight FROM orders"
@@ -361,10 +391,8 @@ def _l11(spark, d):
     return workload.join_graph(run_sql(spark, d, _TOUCH))
 
 
-_sql("D09_retention", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'")
-
 _minimum = ir.Limit(ir.Sort(ir.Aggregate(ir.Filter(ir.Join(ir.Join(ir.Scan("customer", "c"), ir.Scan("orders", "o"), "inner", ("c.c_custkey = o.o_custkey",)), ir.Scan("lineitem", "l"), "inner", ("l.l_orderkey = o.o_orderkey",)), ("c.c_mktsegment = 'BUILDING'",)), (("o.o_orderkey", "o_orderkey"),), (("round(sum(l.l_extendedprice * (1 - l.l_discount)), 2)", "revenue"),)), ("revenue DESC", "o_orderkey")), 10)
-_plan("R01_end_to_end", _minimum, "SELECT o.o_orderkey, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey ORDER BY revenue DESC, o.o_orderkey LIMIT 10")
+_plan("J01_end_to_end", _minimum, "SELECT o.o_orderkey, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey ORDER BY revenue DESC, o.o_orderkey LIMIT 10")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
