@@ -154,15 +154,16 @@ def sql_uses(query: str, sql: str) -> list[tuple[str, str, str, bool]]:
     node = parser.to_algebra(sql)
     table = {rewrites.alias_of(s).lower(): s.table.lower() for s in rewrites.scans(node)}
     out = {(query, t, "", False) for t in table.values()}
+    summed: set[tuple[str | None, str]] = set()
+    named: set[tuple[str | None, str]] = set()
     for n in node.walk():
-        texts = [e for e, _ in n.items] if isinstance(n, ir.Project) else [e for e, _ in n.keys + n.measures] if isinstance(n, ir.Aggregate) else list(n.conjuncts) if isinstance(n, ir.Filter) else []
-        for t in texts:
-            if t == "*":
-                continue
-            for e in X.parse(t).walk():
-                for c in e.columns():
-                    owners = [table.get(c[0].lower())] if c[0] else list(dict.fromkeys(table.values()))
-                    out |= {(query, o, c[1].lower(), e.op == "call" and e.value[0] in ("sum", "avg")) for o in owners if o}
+        texts = [e for e, _ in n.items if e != "*"] if isinstance(n, ir.Project) and not isinstance(n.child, ir.Aggregate) else [e for e, _ in n.keys + n.measures] if isinstance(n, ir.Aggregate) else list(n.conjuncts) if isinstance(n, ir.Filter) else []
+        for e in map(X.parse, texts):
+            named.update(e.columns())
+            summed.update(c for x in e.walk() if x.op == "call" and x.value[0] in ("sum", "avg") for c in x.columns())
+    for c in named:
+        owners = [table.get(c[0].lower())] if c[0] else list(dict.fromkeys(table.values()))
+        out |= {(query, o, c[1].lower(), c in summed) for o in owners if o}
     return sorted(out)
 
 

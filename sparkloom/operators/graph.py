@@ -20,9 +20,8 @@ def _drop(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that loops keep short plans."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; one of our own where none is set and all runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -31,9 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
 
         base = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return base
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that loops keep short plans."""
+    spark: SparkSession = df.sparkSession
+    path = scratch(spark, "graph")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,8 +31,8 @@ def merged_assets(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     order = F.struct("seen", "__new", F.xxhash64("source", "kind", "name", "description"))
     rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    all_ = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), "source", "kind", "name", "description", "tags", "metadata", F.coalesce("placeholder", F.lit(False)).alias("placeholder")))).alias("w"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
-    last = lambda keep, field: F.element_at(F.filter("w", keep), -1)[field]
+    all_ = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), "source", "kind", "name", "description", "tags", "metadata", F.coalesce("placeholder", F.lit(False)).alias("placeholder"))), lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)).alias("w"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
+    last = lambda keep, field: F.try_element_at(F.filter("w", keep), F.lit(-1))[field]
     filled = lambda c: F.coalesce(last(lambda x: F.coalesce(x[c], F.lit("")) != "", c), F.lit(None).cast("string"))
     firm = last(lambda x: ~x["placeholder"] & (F.coalesce(x["kind"], F.lit("")) != ""), "kind")
     return all_.select(

@@ -373,7 +373,7 @@ def _refuting_row(p: E, q: E) -> dict | None:
     columns = both.columns()
     numbers = sorted({c for e in both.walk() if e.op == "lit" and isinstance(c := _constant(e), Fraction)} | {-c for e in both.walk() if e.op == "neg" and isinstance(c := _constant(e.args[0]), Fraction)})
     texts = sorted({e.value for e in both.walk() if e.op == "lit" and isinstance(e.value, str)} | {e.value[1] for e in both.walk() if e.op == "typed"})
-    near = sorted({c + d for c in numbers for d in (-1, Fraction(-1, 2), 0, Fraction(1, 2), 1)} | {(a + b) / 2 for a, b in zip(numbers, numbers[1:], strict=False)})
+    near = sorted({c + d for c in numbers for d in (-1, Fraction(-1, 2), 0, Fraction(1, 2), 1)} | {(a + b) / 2 for a, b in zip(numbers, numbers[1:], strict=False)} | ({numbers[0] - numbers[-1] - 1, numbers[0] + numbers[-1] + 1} if numbers else set()))
     words = sorted({w for t in texts for w in (t, t + "z", t.replace("%", "").replace("_", "x"), t.replace("%", "qx"), "")})
     about: dict = {c: set() for c in columns}  # which kinds of constants a column meets
     for e in both.walk():

@@ -72,9 +72,9 @@ def dag_lineage(files: DataFrame) -> DataFrame:
 
 def dag_events(runs: DataFrame) -> DataFrame:
     """Task instances (value: dag_id, task_id, start_date, duration, sql) as query events."""
-    kind = "struct<dag_id:string,task_id:string,start_date:timestamp,duration:double,sql:string>"
+    kind = "struct<dag_id:string,task_id:string,start_date:string,duration:double,sql:string>"
     r = runs.select(F.from_json("value", kind).alias("r")).select("r.*")
-    return r.select(F.col("start_date").alias("captured_at"), "sql", F.concat(F.lit("airflow:"), "dag_id", F.lit(":"), "task_id").alias("source_name"), F.lit("task").alias("query_type"), (F.col("duration") * 1000).alias("duration_ms"), "dag_id")
+    return r.select(F.col("start_date").cast("timestamp").alias("captured_at"), "sql", F.concat(F.lit("airflow:"), "dag_id", F.lit(":"), "task_id").alias("source_name"), F.lit("task").alias("query_type"), (F.col("duration") * 1000).alias("duration_ms"), "dag_id")
 
 
 def bi_objects(tables: DataFrame) -> DataFrame:
@@ -86,9 +86,9 @@ def bi_objects(tables: DataFrame) -> DataFrame:
 
 def bi_events(audit: DataFrame) -> DataFrame:
     """A BI tool's audit rows (value: started_at, user, running_time, native.query) as query events; rows without a text are none."""
-    kind = "struct<started_at:timestamp,user:string,running_time:double,native:struct<query:string>>"
+    kind = "struct<started_at:string,user:string,running_time:double,native:struct<query:string>>"
     a = audit.select(F.from_json("value", kind).alias("a")).select("a.*")
-    return a.where(F.coalesce("native.query", F.lit("")) != "").select(F.col("started_at").alias("captured_at"), F.col("native.query").alias("sql"), F.lit("metabase").alias("source_name"), F.col("user").alias("database_user"), F.col("running_time").alias("duration_ms"))
+    return a.where(F.coalesce("native.query", F.lit("")) != "").select(F.col("started_at").cast("timestamp").alias("captured_at"), F.col("native.query").alias("sql"), F.lit("metabase").alias("source_name"), F.col("user").alias("database_user"), F.col("running_time").alias("duration_ms"))
 
 
 def column_lineage(history: DataFrame) -> DataFrame:

@@ -53,10 +53,8 @@ def log_events(lines: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str, after: str | None = None) -> DataFrame:
     """Lines (file, nth, value) of log files; with `after`, of files changed since. Lines are numbered by their place within a file, which is one task each."""
-    reader = spark.read.option("wholetext", True)
-    if after:
-        reader = reader.option("modifiedAfter", after)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("ls"))
+    reader = spark.read.option("modifiedAfter", after) if after else spark.read
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("ls"))
     return files.select("file", F.posexplode("ls").alias("nth", "value")).where("value != ''")
 
 

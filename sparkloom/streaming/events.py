@@ -17,7 +17,7 @@ FILES_PER_TRIGGER = 100
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Lines (file, nth, value) of log files as they arrive; what was read is kept in the query's checkpoint, so a file is read once."""
-    rows = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(path)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("nth", "value")).where("value != ''")
 
 
