@@ -5,12 +5,14 @@ LENGTH-byte string, so equal strings hold such a position at the same place, and
 
 1. Copies: a document whose whole text occurs under a smaller doc_id goes whole (from LENGTH bytes on), and takes no part in what follows, as the first copy stands for it.
 2. Duplicate detection: seed hashes travel packed, dealt by hash range; those in one document only go no further.
-3. Distributed merge sort: each task sorts the remaining suffixes, front-codes the run and deals it by hash range; a loser tree that carries the common prefix with the last
-   winner merges the runs and compares only bytes beyond known prefixes.
-4. In each stretch of suffixes that share their seed, every LENGTH-byte string around it, left context included, is given the least doc_id it
-   starts in; a document with a larger one loses those bytes. Documents then cut the union of their stretches from the input.
-
-Null and short texts (under LENGTH bytes) lose nothing. doc_id identifies a text; a repeated row is returned each time, and is no smaller document than itself.
+3. Distributed merge sort: each task sorts the remaining suffixes, equal ones with equal left contexts once for all places they stand at, front-codes the run and deals it by
+   hash range; a loser tree that carries the common prefix with the last winner merges the runs and compares only bytes beyond known prefixes.
+4. A string of LENGTH bytes with l of them left of its seed is shared by neighbouring suffixes whose common prefix, as the tree carried it, is LENGTH - l or more and
+   whose left contexts agree in l bytes. For each l such groups are given the least doc_id; a document with a larger one loses those bytes. Documents then cut the union of
+   their stretches from the input.
+
+Null and short texts (under LENGTH bytes) lose nothing. doc_id identifies a text; a repeated row is returned each time, and is no smaller document than itself. A row
+without doc_id is returned whole and counts for no other. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -190,25 +192,34 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Front-coded sorted runs of the suffixes at shared seeds: bucket, run, docs, places, left."""
+    """Front-coded sorted runs of the suffixes at shared seeds: bucket, run, lefts (contexts), sizes (places of each), docs, places."""
     n = 4 * partitions(rows.sparkSession)
+    names = ["bucket", "run", "lefts", "sizes", "docs", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, int, bytes]] = []
+        held: list[tuple[int, bytes, bytes, int, int]] = []
 
         def flush():
             held.sort()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             at = 0
             while at < len(held):
                 end = at
+                rights, lefts, sizes = [], [], []
                 while end < len(held) and held[end][0] == held[at][0]:
+                    if rights and held[end][1] == rights[-1] and held[end][2] == lefts[-1]:
+                        sizes[-1] += 1
+                    else:
+                        rights.append(held[end][1])
+                        lefts.append(held[end][2])
+                        sizes.append(1)
                     end += 1
                 part = held[at:end]
-                for column, v in zip(out, (part[0][0], pack(np.frombuffer(front_code([p[1] for p in part]), np.uint8)), pack(np.array([p[2] for p in part], np.int64)), pack(np.array([p[3] for p in part], np.int64)), pack(np.frombuffer(b"".join(bytes((len(p[4]),)) + p[4] for p in part), np.uint8))), strict=True):
+                packed = (np.frombuffer(front_code(rights), np.uint8), np.frombuffer(b"".join(bytes((len(x),)) + x for x in lefts), np.uint8), np.array(sizes, np.int64), np.array([p[3] for p in part], np.int64), np.array([p[4] for p in part], np.int64))
+                for column, v in zip(out, (part[0][0], *map(pack, packed)), strict=True):
                     column.append(v)
                 at = end
-            return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "run", "docs", "places", "lefts"])
+            return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=names)
 
         for b in batches:
             for doc, text, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -216,74 +227,77 @@ def _runs(rows: DataFrame) -> DataFrame:
                 at, key = anchors(data)
                 chosen = np.isin(key, np.array(keys, np.int64).view(np.uint64))
                 for a, k in zip(at[chosen].tolist(), _bucket(key[chosen], n).tolist(), strict=True):
-                    held.append((k, data[a : a + LENGTH], doc, a, data[max(0, a - LEFT) : a]))
+                    held.append((k, data[a : a + LENGTH], data[max(0, a - LEFT) : a], doc, a))
                 if len(held) >= FLUSH // 8:
                     yield flush()
                     held = []
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "bucket int, run binary, docs binary, places binary, lefts binary")
-
-
-def _judge(stretch: list[tuple[bytes, bytes, int, int]], out: list[tuple[int, int, int]]) -> None:
-    """For suffixes (left, right, doc, place) that share a seed: (doc, first, last) starts of strings that a smaller document has."""
-    least: dict[tuple[bytes, bytes], int] = {}
-    for left, right, doc, _ in stretch:
-        c = (left, right)
-        if doc < least.get(c, 1 << 63):
-            least[c] = doc
-    met: dict[tuple[bytes, bytes], list[int]] = {}
-    if len(least) > 1:
-        # one left length at a time; a context's first document meets smaller ones in the strings it shares with other contexts
-        for l in range(LEFT + 1):  # noqa: E741
-            part = [(c, (c[0] + c[1])[len(c[0]) - l : len(c[0]) - l + LENGTH], doc) for c, doc in least.items() if l <= len(c[0]) and l + len(c[1]) >= LENGTH]
-            owner: dict[bytes, int] = {}
-            for _, w, doc in part:
-                if doc < owner.get(w, 1 << 63):
-                    owner[w] = doc
-            if len(owner) < len(part):
-                for c, w, doc in part:
-                    if owner[w] < doc:
-                        met.setdefault(c, []).append(l)
-    for left, right, doc, place in stretch:
-        c = (left, right)
-        if doc > least[c]:  # the whole context is in a smaller document
-            shortest = max(0, LENGTH - len(right))
-            if shortest <= len(left):
-                out.append((doc, place - len(left), place - shortest))
+    return rows.mapInArrow(run, "bucket int, run binary, lefts binary, sizes binary, docs binary, places binary")
+
+
+def removable(shared: np.ndarray, rights: np.ndarray, lefts: list[bytes], sizes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, first, last: starts of strings that a smaller document has.
+
+    Suffixes come sorted: `shared` is the prefix each has in common with the one before, `rights` its length, `lefts` its left context, `sizes` the number of its places.
+    """
+    n, count = len(shared), np.array([len(x) for x in lefts])
+    near = np.zeros((n, LEFT), np.uint8)  # left contexts from the seed outwards
+    for i, x in enumerate(lefts):
+        near[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1]
+    ends = np.cumsum(sizes)
+    least = np.minimum.reduceat(docs, ends - sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    hit = np.zeros((len(docs), LEFT + 2), bool)  # by left length; the last column stays empty
+    code = np.zeros(n, np.uint64)
+    for left in range(LEFT + 1):
+        if left:
+            code = mix(code + near[:, left - 1].astype(np.uint64) + np.uint64(1))
+        here = np.flatnonzero((count >= left) & (rights >= LENGTH - left))
+        if len(here) < 1:
+            continue
+        run = np.cumsum(shared < LENGTH - left)[here]
+        order = np.lexsort((code[here], run))
+        r, c = run[order], code[here][order]
+        begin = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
+        if len(begin) == len(order) and sizes.max() == 1:
             continue
-        lengths = met.get(c, ())
-        i = 0
-        while i < len(lengths):
-            j = i
-            while j + 1 < len(lengths) and lengths[j + 1] == lengths[j] + 1:
-                j += 1
-            out.append((doc, place - lengths[j], place - lengths[i]))
-            i = j + 1
+        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        if left and (near[here[order]][:, :left] != near[here[order[begin[group]]]][:, :left]).any():
+            raise RuntimeError("two left contexts with one 64-bit code")
+        first = np.full(n, np.iinfo(np.int64).max)
+        first[here[order]] = np.minimum.reduceat(least[here[order]], begin)[group]
+        hit[:, left] = docs > first[owner]
+    flat = hit.ravel()
+    before = np.concatenate([[False], flat[:-1]])
+    up, down = np.flatnonzero(flat & ~before), np.flatnonzero(~flat & before)
+    row, low, high = up // (LEFT + 2), up % (LEFT + 2), (down - 1) % (LEFT + 2)
+    return docs[row], places[row] - high, places[row] - low
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    runs, docs, places, lefts = [], [], [], []
-    for code, d, p, left in zip(group["run"], group["docs"], group["places"], group["lefts"], strict=True):
+    runs, lefts, sizes, docs, places = [], [], [], [], []
+    for code, left, size, doc, place in zip(*(group[c] for c in ("run", "lefts", "sizes", "docs", "places")), strict=True):
         runs.append(front_decode(unpack(code).tobytes()))
-        docs.append(unpack(d).tolist())
-        places.append(unpack(p).tolist())
-        raw, at, out = unpack(left).tobytes(), 0, []
+        raw, at = unpack(left).tobytes(), 0
         while at < len(raw):
-            out.append(raw[at + 1 : at + 1 + raw[at]])
+            lefts.append(raw[at + 1 : at + 1 + raw[at]])
             at += 1 + raw[at]
-        lefts.append(out)
-    found: list[tuple[int, int, int]] = []
-    stretch: list[tuple[bytes, bytes, int, int]] = []
-    for r, i, shared in merge_runs(runs):
-        if shared < SEED and stretch:
-            _judge(stretch, found)
-            stretch = []
-        stretch.append((lefts[r][i], runs[r][0][i], docs[r][i], places[r][i]))
-    if stretch:
-        _judge(stretch, found)
-    return pd.DataFrame(found, columns=["doc_id", "first", "last"]).astype("int64")
+        sizes.append(unpack(size))
+        docs.append(unpack(doc))
+        places.append(unpack(place))
+    base = np.cumsum([0, *map(len, sizes)])
+    size, doc, place = np.concatenate(sizes), np.concatenate(docs), np.concatenate(places)
+    order, shared = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    for k, (r, i, c) in enumerate(merge_runs(runs)):
+        order[k], shared[k] = base[r] + i, c
+    rights = np.array([len(x) for strings, _ in runs for x in strings])
+    begin = np.cumsum(size) - size
+    own = size[order]
+    at = np.repeat(begin[order] - np.cumsum(own) + own, own) + np.arange(own.sum())
+    found = removable(shared, rights[order], [lefts[i] for i in order.tolist()], own, doc[at], place[at])
+    return pd.DataFrame(dict(zip(("doc_id", "first", "last"), found, strict=True)))
 
 
 def stretches(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
