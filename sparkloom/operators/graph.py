@@ -9,6 +9,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Edges up to which a traversal runs on the driver; more are joined level by level.
+DRIVER_EDGES = 100_000
 #: Levels of a traversal after which all that was seen is written again, so that long chains keep short plans.
 CUT_LEVELS = 32
 
@@ -64,16 +66,37 @@ def declared_first(declared: DataFrame, guessed: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, start: str, down: bool = True, depth: int | None = None, limit: int | None = None) -> DataFrame:
-    """node, depth of all nodes reachable from start, which is left out; cycles end. One join for each level, cut each time.
+    """node, depth of all nodes reachable from start, which is left out; cycles end.
 
-    Without a depth it goes on until no node is new; more than `limit` levels, if given, are an error.
+    Without a depth it goes on until no node is new; more than `limit` levels, if given, are an error. A lineage graph of at most DRIVER_EDGES edges is walked on the
+    driver; a larger one takes one join for each level, cut each time.
     """
     a, b = ("source", "target") if down else ("target", "source")
-    step = edges.select(F.col(a).alias("here"), F.col(b).alias("there"))
-    spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, 0)], "node string, depth int"))
+    step = edges.select(F.col(a).cast("string").alias("here"), F.col(b).cast("string").alias("there"))
+    few = step.limit(DRIVER_EDGES + 1).collect()
+    if len(few) <= DRIVER_EDGES:
+        return _walked(edges.sparkSession, few, start, depth, limit)
+    return _joined_levels(step, start, depth, limit)
+
+
+def _walked(spark: SparkSession, edges: list, start: str, depth: int | None, limit: int | None) -> DataFrame:
+    near: dict[str, list[str]] = {}
+    for here, there in edges:
+        near.setdefault(here, []).append(there)
+    seen, front, level = {start: 0}, [start], 0
+    while front and level != depth:
+        level += 1
+        front = list(dict.fromkeys(n for f in front for n in near.get(f, ()) if n is not None and n not in seen))
+        if front and depth is None and limit is not None and level > limit:
+            raise RuntimeError(f"nodes beyond {limit} levels")
+        seen.update(dict.fromkeys(front, level))
+    return spark.createDataFrame([(n, k) for n, k in seen.items() if k], "node string, depth int")
+
+
+def _joined_levels(step: DataFrame, start: str, depth: int | None, limit: int | None) -> DataFrame:
+    seen = cut(step.sparkSession.createDataFrame([(start, 0)], "node string, depth int"))
     for level in range(1, depth + 1) if depth is not None else count(1):
-        new = cut(step.join(seen.where(F.col("depth") == level - 1), F.col("here") == F.col("node")).select(F.col("there").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        new = cut(step.join(seen.where(F.col("depth") == level - 1), F.col("here") == F.col("node")).select(F.col("there").alias("node")).where("node is not null").distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if new.isEmpty():
             break
         if depth is None and limit is not None and level > limit:

@@ -34,7 +34,9 @@ def test_every_schema_match(spark):
     assert [x.target_object for x in graph.match_scores(a, b).collect()] == ["orders"]
 
 
-def test_reach_has_no_silent_end(spark, monkeypatch):
+@pytest.mark.parametrize("on_driver", [100_000, 0])
+def test_reach_has_no_silent_end(spark, monkeypatch, on_driver):
+    monkeypatch.setattr(graph, "DRIVER_EDGES", on_driver)
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(8)] + [("8", "5")], "source string, target string")
     assert inspect.signature(graph.reach).parameters["limit"].default is None
     monkeypatch.setattr(graph, "CUT_LEVELS", 3, raising=False)
@@ -42,3 +44,10 @@ def test_reach_has_no_silent_end(spark, monkeypatch):
     assert graph.reach(edges, "0", limit=8).count() == 8 and graph.reach(edges, "0", depth=2, limit=1).count() == 2
     with pytest.raises(RuntimeError):
         graph.reach(edges, "0", limit=7)
+
+
+def test_long_chain(spark):
+    edges = spark.range(1500).selectExpr("cast(id as string) as source", "cast(id + 1 as string) as target")
+    assert graph.reach(edges, "0").count() == 1500
+    assert graph.reach(edges, "1500", down=False).count() == 1500
+    assert graph.reach(edges, "0", depth=0).count() == 0
