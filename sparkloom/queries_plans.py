@@ -39,6 +39,22 @@ _run("T01_sql_to_algebra", parser.to_algebra(_Q3), _Q3)
 _USING = "SELECT n.n_name, k.total FROM nation n JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS total FROM customer GROUP BY 1) k USING (n_nationkey) WHERE n.n_regionkey = 1 OR n.n_name LIKE 'NATION_1%'"
 _run("T01_using_and_subquery", parser.to_algebra(_USING), _USING)
 
+# single features of the language, through the same front end
+for _name, _text in {
+    "P06_column_reference": "SELECT o.o_orderkey, o_custkey FROM orders o WHERE o.o_custkey < 50",
+    "A04_count": "SELECT count(*) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS f FROM orders",
+    "A06_sum": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_orderstatus",
+    "W01_window": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders",
+    "W02_partition_and_order": "SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS top FROM orders",
+    "W10_window_in_expression": "SELECT c_custkey, round(c_acctbal - min(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS above FROM customer",
+    "O02_sort_direction": "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25",
+    "O04_limit": "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 9",
+    "F02_modulo": "SELECT o_orderkey, o_custkey % 7 AS r FROM orders",
+    "F05_function_call": "SELECT n_nationkey, concat(upper(substr(n_name, 1, 3)), lpad(CAST(n_regionkey AS VARCHAR(3)), 3, '0')) AS code FROM nation",
+    "F13_nullif": "SELECT n_nationkey, nullif(n_regionkey, 2) AS r FROM nation",
+}.items():
+    _run(_name, parser.to_algebra(_text), _text)
+
 _WIDE = parser.to_algebra("SELECT DISTINCT ON (o.o_custkey) o.o_custkey, o.o_orderkey FROM orders o LEFT SEMI JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 5000 ORDER BY o.o_custkey, o.o_totalprice DESC, o.o_orderkey")
 
 
@@ -316,6 +332,7 @@ _run("L16_greatest_common", proof.algebra(proof.greatest_common([_cq(s) for s in
 _TOPS = {n: workload.topology(s) for n, s in (("a", "SELECT 1 AS x FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey"), ("b", "SELECT 1 AS x FROM customer k JOIN orders z ON k.c_custkey = z.o_custkey"), ("c", "SELECT 1 AS x FROM orders p JOIN orders q ON p.o_custkey = q.o_orderkey"))}
 _facts("L17_topologies", "query string, relations string, edges string", lambda: [(n, ",".join(sorted(t.relations)), ",".join(sorted(t.edges))) for n, t in _TOPS.items()], [("a", "customer,lineitem,orders", "customer.c_custkey=orders.o_custkey,lineitem.l_orderkey=orders.o_orderkey"), ("b", "customer,orders", "customer.c_custkey=orders.o_custkey"), ("c", "orders,orders#2", "orders#2.o_orderkey=orders.o_custkey")])
 _facts("L18_topology_likeness", "a string, b string, similarity double, within boolean", lambda: [(a, b, round(workload.topology_similarity(_TOPS[a], _TOPS[b]), 6), workload.is_subtopology(_TOPS[a], _TOPS[b])) for a, b in (("b", "a"), ("a", "a"), ("c", "a"))], [("b", "a", round(0.4 * 2 / 3 + 0.6 / 2, 6), True), ("a", "a", 1.0, True), ("c", "a", round(0.4 / 4, 6), False)])
+_facts("X04_self_join_canonical", "pair string, same boolean", lambda: [(n, workload.topology(a) == workload.topology(b)) for n, a, b in (("aliases", "SELECT 1 AS x FROM orders p JOIN orders q ON p.o_custkey = q.o_orderkey", "SELECT 1 AS x FROM orders z JOIN orders a ON a.o_orderkey = z.o_custkey"), ("columns", "SELECT 1 AS x FROM orders p JOIN orders q ON p.o_custkey = q.o_orderkey", "SELECT 1 AS x FROM orders p JOIN orders q ON p.o_custkey = q.o_custkey"))], [("aliases", True), ("columns", False)])
 _run("L19_topology_to_plan", ir.Project(workload.topology_plan(_TOPS["a"]), (("orders.o_orderkey", "ok"), ("lineitem.l_linenumber", "ln"), ("customer.c_name", "cn"))), "SELECT o.o_orderkey AS ok, l.l_linenumber AS ln, c.c_name AS cn FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey")
 _facts("L20_topology_learner", "name string, members string, weight double", lambda: [(n, ",".join(m), round(w, 6)) for n, m, _, w in workload.learned_topologies({q: s for q, (s, _) in _WORK.items()})], [("customer_orders", "q1,q2,q3", 1.0), ("lineitem_orders", "q4,q5", 1.0), ("nation", "q6", 1.0)])
 

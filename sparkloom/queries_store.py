@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import sqltext
 from .operators import governance, graph, search, store, traffic
-from .queries import _CLASS, _DUCK, _NORM, _REFS, ORACLES, QUERIES, _query, query_events, run_sql
+from .queries import _CLASS, _DUCK, _EDGES, _NORM, _REFS, ORACLES, QUERIES, _query, query_events, run_sql
 from .queries_plans import _facts
-from .sources import base, catalog, code, manifests, postgres
+from .sources import base, catalog, code, manifests, postgres, sample, warehouses
 from .sources.registry import REGISTRY
+from .sources.sqlite import SqliteAdapter
 from .streaming import events as streams
 
 
@@ -197,6 +198,52 @@ def _s35(spark, d):
 
 QUERIES["S32_repository_files"], ORACLES["S32_repository_files"] = QUERIES["S33_code_references"], ORACLES["S33_code_references"]
 
+@_query("S20_bq_events", "SELECT ts AS captured_at, 'select ' || CAST(event_id AS VARCHAR) AS sql, 'select' AS query_type, event_id AS bytes, 1500.0::DOUBLE AS duration_ms, CASE WHEN event_id % 2 = 0 THEN 'd' END AS dag FROM events WHERE event_type <> 'error'")
+def _s20(spark, d):
+    jobs = run_sql(spark, d, "SELECT ts AS creation_time, CASE WHEN event_type <> 'error' THEN concat('select ', event_id) END AS query, 'u' AS user_email, 'j' AS job_id, 'SELECT' AS statement_type, event_id AS total_bytes_processed, cast('2024-01-01 00:00:00' AS timestamp) AS start_time, cast('2024-01-01 00:00:01.5' AS timestamp) AS end_time, CASE WHEN event_id % 2 = 0 THEN array(named_struct('key', 'dag_id', 'value', 'd')) END AS labels FROM events")
+    return warehouses.job_events(jobs).select("captured_at", "sql", "query_type", "bytes", "duration_ms", F.col("labels")["dag_id"].alias("dag"))
+
+
+@_query("S23_sf_events", "SELECT ts AS captured_at, 'q' AS sql, event_type AS query_type, value AS duration_ms FROM events")
+def _s23(spark, d):
+    rows = run_sql(spark, d, "SELECT ts AS start_time, 'q' AS query_text, 'u' AS user_name, cast(event_id AS string) AS query_id, upper(event_type) AS query_type, 1 AS bytes_scanned, value AS total_elapsed_time, cast(NULL AS string) AS error_message FROM events")
+    return warehouses.history_events(rows).select("captured_at", "sql", "query_type", "duration_ms")
+
+
+@_query("S09_extract_definitions", "SELECT 'loom_view' AS object, true AS has_text")
+def _s09(spark, d):
+    """A view of the catalog and its text; the view is dropped again."""
+    spark.sql(f"CREATE OR REPLACE VIEW loom_view AS SELECT n_name FROM parquet.`{d}/nation.parquet`")
+    try:
+        got = catalog.CatalogAdapter(spark).definitions().where("object = 'loom_view'").select("object", F.contains("definition", F.lit("n_name")).alias("has_text")).collect()
+    finally:
+        spark.sql("DROP VIEW loom_view")
+    return spark.createDataFrame(got, "object string, has_text boolean")
+
+
+@_query("S25_sqlite", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _s25(spark, d):
+    """A table written to a SQLite file and read back through the data source; such files are local, so this runs in one process only."""
+    import sqlite3
+    import tempfile
+
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("a SQLite file is local to one machine")
+    path = f"{tempfile.mkdtemp(prefix='loom-')}/n.db"
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE nation (n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER)")
+        con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in run_sql(spark, d, "SELECT * FROM nation").collect()])
+    return SqliteAdapter(spark, path).table("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+QUERIES["X02_adapter_protocol"], ORACLES["X02_adapter_protocol"] = QUERIES["S25_sqlite"], ORACLES["S25_sqlite"]
+
+
+@_query("S36_sample", f"SELECT 'sample::' || source AS upstream, 'sample::' || target AS downstream FROM ({_EDGES})")
+def _s36(spark, d):
+    return sample.install(spark, graph.scratch(spark, "store")).read("edges", "upstream string, downstream string, kind string").select("upstream", "downstream")
+
+
 _ASSETS = "SELECT 'p::main.part_' || CAST(p_partkey AS STRING_) AS id, 'p' AS source, lower(p_type) AS kind, p_name AS name, p_brand AS description FROM part"
 _LINKS = "SELECT DISTINCT 'p::main.part_' || CAST(l_partkey AS STRING_) AS upstream, 's::supplier_' || CAST(l_suppkey AS STRING_) AS downstream, CASE WHEN l_linenumber % 2 = 0 THEN 'schema_match' ELSE 'reads' END AS kind FROM lineitem"
 
@@ -721,6 +768,14 @@ def _q20(spark, d):
 QUERIES["Q19_asset_tools"], ORACLES["Q19_asset_tools"] = QUERIES["Q20_context_bundle"], ORACLES["Q20_context_bundle"]
 
 
+@_query("Q23_gathered_context", "SELECT id, 'main.part' AS kind, CAST(0.5 AS DOUBLE) AS score FROM (SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_name LIKE '%cold%' ORDER BY 1 LIMIT 5)")
+def _q23(spark, d):
+    """What a question's answer would be given: the best assets with their facts. No model is asked."""
+    assets = _both(spark, d, "SELECT CAST(p_partkey AS STRING_) AS id, p_name AS name, '' AS description, 'main.part' AS kind FROM part")
+    none = spark.createDataFrame([], "asset string, columns array<string>")
+    return search.suggested(assets, none, "cold", 5).join(assets, "id").select("id", "kind", "score")
+
+
 @_query("Q22_column_parity", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS upstream, 'r' || CAST(n_regionkey AS VARCHAR) AS downstream, CASE WHEN n_nationkey % 2 = 0 AND n_regionkey % 2 = 0 THEN 'strict' WHEN n_nationkey % 2 = 0 THEN 'superset' WHEN n_regionkey % 2 = 0 THEN 'diverged' ELSE 'superset' END AS parity FROM nation")
 def _q22(spark, d):
     edges = run_sql(spark, d, "SELECT concat('n', n_nationkey) AS upstream, concat('r', n_regionkey) AS downstream FROM nation")

@@ -108,3 +108,29 @@ def test_pull_and_cursor(spark):
     e = spark.createDataFrame([(i, f"2024-01-0{i + 1} 00:00:00") for i in range(5)], "event_id int, captured_at string").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
     assert traffic.next_cursor(e, "2024-01-09 00:00:00") == "2024-01-09 00:00:00" and traffic.next_cursor(e, None).startswith("2024-01-05")
     assert [r.event_id for r in traffic.pulled(e, None, "2024-01-03 00:00:00", 2).collect()] == [4, 3]
+
+
+def test_webhook_posts_signed_rows_and_retries(spark):
+    import hashlib
+    import hmac
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            got.append((body, self.headers["X-Signature"]))
+            self.send_response(500 if len(got) == 1 else 200)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    streams.webhook(f"http://127.0.0.1:{server.server_port}/", "key", wait=0)(spark.createDataFrame([(1,), (2,)], "a int").coalesce(1), 0)
+    server.shutdown()
+    assert [b for b, _ in got] == [b'{"a":1}', b'{"a":1}', b'{"a":2}']
+    assert got[0][1] == hmac.new(b"key", got[0][0], hashlib.sha256).hexdigest()
