@@ -428,9 +428,7 @@ class Parser:
             order = self.order_keys() if self.accept("ORDER", "BY") else ()
             self.expect(")")
             if order:
-                args[-1] = args[-1]
-                name_ = E("call", tuple(args), (name, distinct))
-                return self._over(E("within", (name_,), tuple(order)))
+                return self._over(E("within", (E("call", tuple(args), (name, distinct)),), tuple(order)))
         x = E("call", tuple(args), (name, distinct))
         if self.accept("WITHIN", "GROUP", "("):
             self.expect("ORDER", "BY")

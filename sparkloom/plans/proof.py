@@ -160,8 +160,6 @@ def values_of(parts: list[E]) -> dict[tuple[str | None, str], Values]:
                 continue
             c = _constant(p.args[1])
             if c is None:
-                for _, name in [x for x in p.args[1].columns()]:
-                    pass
                 for x in p.args[1].columns():
                     out.setdefault(x, Values()).known = True
                 continue
@@ -595,7 +593,8 @@ def common_part(a: Conjunctive, b: Conjunctive) -> Conjunctive | None:
     """The least query that holds both's rows on their shared relations: relations paired by table, equalities both have, conditions relaxed, outputs shared."""
     pairs, taken = [], set()
     for t, x in a.atoms:
-        y = next((y for u, y in b.atoms if u == t and y not in taken and (y == x or True)), None)
+        free = [y for u, y in b.atoms if u == t and y not in taken]
+        y = x if x in free else next(iter(free), None)
         if y is not None:
             taken.add(y)
             pairs.append((t, x, y))

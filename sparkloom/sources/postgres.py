@@ -11,7 +11,7 @@ ZONES = {
     "WET": "+00:00", "WEST": "+01:00", "CET": "+01:00", "CEST": "+02:00", "EET": "+02:00", "EEST": "+03:00", "MSK": "+03:00", "IST": "+05:30", "PKT": "+05:00", "HKT": "+08:00", "SGT": "+08:00", "JST": "+09:00", "KST": "+09:00",
     "ACST": "+09:30", "AEST": "+10:00", "AEDT": "+11:00", "NZST": "+12:00", "NZDT": "+13:00",
 }
-#: The line prefix '%t [%p] db=%d,user=%u,app=%a,client=%h ' and the message.
+# The format of a line, prefix '%t [%p] db=%d,user=%u,app=%a,client=%h ' and message, and of a message with its duration.
 LINE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:.]+(?: [A-Z]+|[+-][0-9:]+| [+-][0-9:]+)?) \[([0-9]+)\] db=([^,]*),user=([^,]*),app=([^,]*),client=(\S+) (LOG|ERROR|STATEMENT):\s+(.*)$"
 DURATION = r"^duration:\s+([0-9.]+)\s+ms\s+statement:\s+(.+)$"
 
