@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
-from .store import partitions, saved
+from .store import bounded_batches, partitions, saved
 
 LENGTH, SEED, KEY_BITS, FLUSH = 50, 20, 48, 1 << 19
 LEFT = LENGTH - SEED
@@ -77,9 +77,9 @@ def _shared_seeds(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(used, pa.int32()), pa.array([pack_sorted(k[at[i] : at[i + 1]]) for i in used], pa.binary()), pa.array([pack(d[at[i] : at[i + 1]]) for i in used], pa.binary())], names=["bucket", "keys", "docs"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text and doc is not None:
-                    k = np.unique(anchors(text.encode("utf-8", "surrogatepass"))[1])
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if text.is_valid and doc is not None:
+                    k = np.unique(anchors(text.as_buffer().to_pybytes())[1])
                     keys.append(k)
                     owner.append(np.full(len(k), doc, np.int64))
                     held += len(k)
@@ -222,10 +222,12 @@ def _runs(rows: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=names)
 
         for b in batches:
-            for doc, text, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            docs, keys = b.column(0).to_numpy(), b.column(2)
+            offsets, values = keys.offsets.to_numpy(), keys.values.to_numpy().view(np.uint64)
+            for i in range(b.num_rows):
+                doc, data = int(docs[i]), b.column(1)[i].as_buffer().to_pybytes()
                 at, key = anchors(data)
-                chosen = np.isin(key, np.array(keys, np.int64).view(np.uint64))
+                chosen = np.isin(key, values[offsets[i] : offsets[i + 1]])
                 for a, k in zip(at[chosen].tolist(), _bucket(key[chosen], n).tolist(), strict=True):
                     held.append((k, data[a : a + LENGTH], data[max(0, a - LEFT) : a], doc, a))
                 if len(held) >= FLUSH // 8:
@@ -264,10 +266,12 @@ def removable(shared: np.ndarray, rights: np.ndarray, lefts: list[bytes], sizes:
         if len(begin) == len(order) and sizes.max() == 1:
             continue
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-        if left and (near[here[order]][:, :left] != near[here[order[begin[group]]]][:, :left]).any():
+        mine, lead = here[order], here[order[begin[group]]]
+        other = mine != lead
+        if left and (near[mine[other], :left] != near[lead[other], :left]).any():
             raise RuntimeError("two left contexts with one 64-bit code")
         first = np.full(n, np.iinfo(np.int64).max)
-        first[here[order]] = np.minimum.reduceat(least[here[order]], begin)[group]
+        first[mine] = np.minimum.reduceat(least[here[order]], begin)[group]
         hit[:, left] = docs > first[owner]
     flat = hit.ravel()
     before = np.concatenate([[False], flat[:-1]])
@@ -314,6 +318,7 @@ def stretches(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: kept, the remaining bytes."""
+    bounded_batches(docs.sparkSession, "4m")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hashed = rows.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("size"))
     first = hashed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep != top").drop("top")
