@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 from .store import bounded_batches, partitions, saved
 
-LENGTH, SEED, KEY_BITS, FLUSH = 50, 20, 48, 1 << 19
+LENGTH, SEED, KEY_BITS, FLUSH, AT_ONCE = 50, 20, 48, 1 << 19, 1 << 18
 LEFT = LENGTH - SEED
 _P = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -250,8 +250,8 @@ def removable(shared: np.ndarray, rights: np.ndarray, lefts: list[bytes], sizes:
         near[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1]
     ends = np.cumsum(sizes)
     least = np.minimum.reduceat(docs, ends - sizes)
-    owner = np.repeat(np.arange(n), sizes)
-    hit = np.zeros((len(docs), LEFT + 2), bool)  # by left length; the last column stays empty
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    hit = np.zeros(len(docs), np.uint32)  # a bit for each left length
     code = np.zeros(n, np.uint64)
     for left in range(LEFT + 1):
         if left:
@@ -272,12 +272,21 @@ def removable(shared: np.ndarray, rights: np.ndarray, lefts: list[bytes], sizes:
             raise RuntimeError("two left contexts with one 64-bit code")
         first = np.full(n, np.iinfo(np.int64).max)
         first[mine] = np.minimum.reduceat(least[here[order]], begin)[group]
-        hit[:, left] = docs > first[owner]
-    flat = hit.ravel()
-    before = np.concatenate([[False], flat[:-1]])
-    up, down = np.flatnonzero(flat & ~before), np.flatnonzero(~flat & before)
-    row, low, high = up // (LEFT + 2), up % (LEFT + 2), (down - 1) % (LEFT + 2)
-    return docs[row], places[row] - high, places[row] - low
+        for a in range(0, len(docs), AT_ONCE):
+            b = a + AT_ONCE
+            hit[a:b] |= (docs[a:b] > first[owner[a:b]]).astype(np.uint32) << np.uint32(left)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for mask in np.unique(hit).tolist():  # few patterns of lengths
+        row = np.flatnonzero(hit == mask) if mask else None
+        low = 0
+        while mask >> low:
+            low += ((mask >> low) & -(mask >> low)).bit_length() - 1  # to the next length that is hit
+            high = low
+            while mask >> (high + 1) & 1:
+                high += 1
+            found.append((docs[row], places[row] - high, places[row] - low))
+            low = high + 1
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (docs[:0], places[:0], places[:0])
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -293,10 +302,12 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
         places.append(unpack(place))
     base = np.cumsum([0, *map(len, sizes)])
     size, doc, place = np.concatenate(sizes), np.concatenate(docs), np.concatenate(places)
+    del sizes, docs, places
     order, shared = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
     for k, (r, i, c) in enumerate(merge_runs(runs)):
         order[k], shared[k] = base[r] + i, c
     rights = np.array([len(x) for strings, _ in runs for x in strings])
+    runs.clear()
     begin = np.cumsum(size) - size
     own = size[order]
     at = np.repeat(begin[order] - np.cumsum(own) + own, own) + np.arange(own.sum())
