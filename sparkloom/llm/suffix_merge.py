@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 from .store import bounded_batches, partitions, saved
 
-LENGTH, SEED, KEY_BITS, FLUSH, AT_ONCE = 50, 20, 48, 1 << 19, 1 << 18
+LENGTH, SEED, KEY_BITS, FLUSH, AT_ONCE = 50, 20, 43, 1 << 19, 1 << 18
 LEFT = LENGTH - SEED
 _P = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Synchronising positions and their keys."""
+    """Synchronising positions and their keys: hashed anew, as the least of many hashes are small and would meet in the first ranges."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = {1: np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)}
@@ -52,7 +52,7 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     least = slide(seed, np.minimum)
     pad = np.zeros(LEFT, np.uint64)
     at = np.flatnonzero(slide(np.concatenate([pad, least, pad]), np.maximum) == seed)
-    return at, seed[at] >> np.uint64(64 - KEY_BITS)
+    return at, mix(seed[at]) >> np.uint64(64 - KEY_BITS)
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -193,7 +193,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
 def _runs(rows: DataFrame) -> DataFrame:
     """Front-coded sorted runs of the suffixes at shared seeds: bucket, run, lefts (contexts), sizes (places of each), docs, places."""
-    n = 4 * partitions(rows.sparkSession)
+    n = 2 * partitions(rows.sparkSession)
     names = ["bucket", "run", "lefts", "sizes", "docs", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                 chosen = np.isin(key, values[offsets[i] : offsets[i + 1]])
                 for a, k in zip(at[chosen].tolist(), _bucket(key[chosen], n).tolist(), strict=True):
                     held.append((k, data[a : a + LENGTH], data[max(0, a - LEFT) : a], doc, a))
-                if len(held) >= FLUSH // 8:
+                if len(held) >= FLUSH // 4:
                     yield flush()
                     held = []
         if held:

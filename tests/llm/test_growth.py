@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sparkloom.llm import token_group_join
+from sparkloom.llm import suffix_merge, token_group_join
 
 
 def test_jaccard_pairs_of_shared_passages(spark, monkeypatch):
@@ -45,3 +45,13 @@ def test_texts_of_ids(spark):
     got = {x.doc_id for x in token_group_join._texts(docs, ids).collect()}
     assert set(range(0, 5000, 50)) <= got and len(got) < 1500
     assert token_group_join._texts(docs, ids.where("doc_id < 0")).count() == 0
+
+
+def test_suffix_ranges_are_even():
+    """The keys of many texts fall into all hash ranges alike, however many ranges there are."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 9))) for _ in range(3000)]
+    keys = np.concatenate([suffix_merge.anchors(" ".join(r.choices(words, k=400)).encode())[1] for _ in range(200)])
+    for n in (12, 51, 600):
+        met = np.bincount(suffix_merge._bucket(keys, n), minlength=n)
+        assert met.min() > 0 and met.max() < 2.5 * met.mean()
