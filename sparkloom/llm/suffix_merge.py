@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
-from .store import bounded_batches, partitions, saved
+from .store import bounded_batches, partitions, saved, texts_of
 
 LENGTH, SEED, KEY_BITS, FLUSH, AT_ONCE = 50, 20, 43, 1 << 19, 1 << 18
 LEFT = LENGTH - SEED
@@ -336,7 +336,7 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = saved(hashed.join(first, ["h1", "h2", "size"]).where("rep < doc_id").select("doc_id").distinct(), "copies")
 
     seeds = saved(_shared_seeds(rows).join(copies, "doc_id", "left_anti"), "seeds")
-    sources = rows.join(seeds, "doc_id").where("text is not null").select("doc_id", "text", "keys")
+    sources = texts_of(rows, seeds.select("doc_id")).join(seeds, "doc_id").where("text is not null").select("doc_id", "text", "keys")
     found = _runs(sources).groupBy("bucket").applyInPandas(_merged, "doc_id bigint, first bigint, last bigint")
     cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
     cuts = saved(cuts.select("doc_id", "cuts", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("cuts"), F.lit(True).alias("copy"))), "cuts")

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packing import mix, pack, unpack
-from .store import saved, worker_state
+from .store import saved, texts_of, worker_state
 
-SLOT_BITS, HASHES, AGREE, ALIKE, CHUNK, CACHED, MOST_WORDS = 20, 8, 2, 4, 256, 1 << 19, 1 << 18
+SLOT_BITS, HASHES, AGREE, ALIKE, CHUNK, CACHED = 20, 8, 2, 4, 256, 1 << 19
 _BLOCKS = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -160,18 +160,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return saved(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "likely")  # documents of several texts have several bitmaps
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of all documents among ids (doc_id, cheap to read), and of few others: the rest is left out before it is exchanged, by a bitmap of hashes."""
-    bits = 64 * min(MOST_WORDS, ids.count() // 8 + 1)
-    words = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("met"))
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    return text.withColumn("p", place).join(F.broadcast(words), F.expr("p div 64 = word and getbit(met, cast(p % 64 as int)) = 1"), "left_semi").select("doc_id", "text")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that link."""
-    text = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    text = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     rows = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +287,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     with_bits = lambda x: x.join(bits, "doc_id").select("grp", "chunk", "doc_id", "comp", "n", "bits")
     queries = _askable(with_bits(queries), with_bits(held), percent)
     held = saved(held.join(queries.select("grp", "chunk").distinct(), ["grp", "chunk"], "left_semi"), "held")
-    text = _texts(docs, queries.select("doc_id").unionByName(held.select("doc_id")))
+    text = texts_of(docs, queries.select("doc_id").unionByName(held.select("doc_id")))
     with_text = lambda x: x.join(text, "doc_id").select("grp", "chunk", "doc_id", "comp", "text")
     far = _opened(with_text(queries), with_text(held), size, percent)
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sparkloom.llm import suffix_merge, token_group_join
+from sparkloom.llm import store, suffix_merge, token_group_join
 
 
 def test_jaccard_pairs_of_shared_passages(spark, monkeypatch):
@@ -42,9 +42,9 @@ def test_parity_bitmaps_reject_no_link():
 def test_texts_of_ids(spark):
     docs = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as text")
     ids = spark.range(0, 5000, 50).selectExpr("id as doc_id")
-    got = {x.doc_id for x in token_group_join._texts(docs, ids).collect()}
+    got = {x.doc_id for x in store.texts_of(docs, ids).collect()}
     assert set(range(0, 5000, 50)) <= got and len(got) < 1500
-    assert token_group_join._texts(docs, ids.where("doc_id < 0")).count() == 0
+    assert store.texts_of(docs, ids.where("doc_id < 0")).count() == 0
 
 
 def test_suffix_ranges_are_even():
