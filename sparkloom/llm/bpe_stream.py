@@ -5,7 +5,7 @@ last token, which depends on the last token of the prefix before it: a chain of
 far right of a token's end a symbol can stand that still changes it: only through a chain of merges of falling rank, each of whose left parts lies
 on the right edge of the one before. A token that ends that far back is emitted; no later symbol can change it.
 Words are fed symbol by symbol, so memory is constant however long a word is; of a word no longer than the lookahead nothing can leave before its end, so
-it is taken at once, and results of short words and chunks are kept in caches of bounded size. Tokens go to the incremental decoder and to the digests as they leave.
+it is taken at once, longest tokens first, and results of short words are kept in caches of bounded size. Tokens go to the incremental decoder and to the digests as they leave.
 
 Null texts count as empty: no tokens, the digests of the empty string. Characters without a vocabulary entry are left out, as the library does. Each
 row is encoded by itself, so repeated rows give repeated results and an empty table gives none; result columns replace columns of the same names.
@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 from .store import bounded_batches, worker_state
 
 _HIGH = re.compile("[\u0378-\U0010ffff]")
-_SPACE, _SPACES = re.compile(r"[^\S\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
-STRIDE, CACHED, LONGEST_CACHED, WINDOW = 64, 1 << 19, 96, 1 << 16
+_SPACE = re.compile(r"[^\S\x1c-\x1f]")
+STRIDE, CACHED, PAIRS, LONGEST_CACHED, WINDOW = 64, 3 << 16, 1 << 18, 96, 1 << 16
 Made = tuple[str, int, str, str]
 
 
@@ -47,8 +47,12 @@ class MergeList:
         self.rank = {tuple(m): i for i, m in enumerate(merges)}
         self.whole = {a + b for a, b in self.rank} | {s for s in vocab if len(s.removesuffix(suffix) if suffix else s) == 1}
         self.longest = max((len(self.symbols(t)) for t in self.whole), default=1)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.reach: dict[str, int] = {}  # most symbols of a token with these first four characters
+        for t in self.whole:
+            self.reach[t[:4]] = max(self.reach.get(t[:4], 3), len(self.symbols(t)))
+        self._pairs: dict[int, bool] = {}  # by the numbers of both tokens
         self._own: dict[str, bool] = {}
+        self._number: dict[str, int] = {}  # of tokens that are their own encoding; -1 of others
         self._split: dict[str, tuple[int, str, str]] = {}
         self.lookahead = self.sufficient_lookahead()
 
@@ -78,11 +82,18 @@ class MergeList:
                 self._split[token] = (self.rank[last], *last) if last else (-1, "", "")
         return v
 
+    def number(self, token: str) -> int:
+        """A number for a token of `whole` that is its own encoding, else -1."""
+        if (v := self._number.get(token)) is None:
+            v = self._number[token] = len(self._number) if self.own(token) else -1
+        return v
+
     def joins(self, a: str, b: str) -> bool:
         """Whether a, b is the encoding of their text: going back through the merges of both, the later first, no pair across the border would have come before."""
-        if (v := self._pairs.get((a, b))) is not None:
+        key = self.number(a) << 32 | self.number(b)
+        if (v := self._pairs.get(key)) is not None:
             return v
-        if len(self._pairs) >= CACHED:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         x, y, limit, right, v = a, b, 1 << 60, False, True
         while True:
@@ -100,7 +111,7 @@ class MergeList:
                 x, limit, right = x2, mx, False
             else:
                 y, limit, right = y1, my, True
-        self._pairs[a, b] = v
+        self._pairs[key] = v
         return v
 
     def sufficient_lookahead(self) -> int:
@@ -181,29 +192,39 @@ class Transducer:
 
 
 def at_once(m: MergeList, w: str) -> list[str]:
-    """What a Transducer gives for a word short enough to be held whole."""
-    n, whole, own, known, pairs, joins = len(w), m.whole, m.own, m._own.get, m._pairs, m.joins
-    last: list[str | None] = [None] * (n + 1)
-    for end in range(1, n + 1):
-        part = w[:end] + m.suffix if end == n else w[:end]
-        for start in range(max(0, end - m.longest), end):
-            t = part[start:]
-            if t in whole and (known(t) or own(t)):
-                if start:
-                    prior = last[start]
-                    if prior is None:
-                        continue
-                    ok = pairs.get((prior, t))
-                    if not (joins(prior, t) if ok is None else ok):
-                        continue
-                last[end] = t
-                break
-    out, at = [], n
-    while at > 0:
-        t = last[at]
-        out.append(t)
-        at -= len(t) - (len(m.suffix) if at == n else 0)
-    return out[::-1]
+    """What a Transducer gives for a word short enough to be held whole: the longest token that fits its neighbour, and a step back where none fits.
+
+    A prefix has one encoding, so an end from which nothing led on is never tried again.
+    """
+    n, whole, number, numbers, pairs = len(w), m.whole, m._number.get, m.number, m._pairs
+    text, reach = w + m.suffix, m.reach.get
+    out: list[str] = []
+    held: list[tuple[int, int]] = []  # number and size of each token of out
+    failed: set[int] = set()
+    at, prior, size = 0, -1, min(n, reach(text[:4], 3))
+    while at < n:
+        while size:
+            end = at + size
+            t = text[at:end] if end < n else text[at:]
+            if t in whole and end not in failed:
+                if (x := number(t)) is None:
+                    x = numbers(t)
+                if x >= 0 and (prior < 0 or (m.joins(out[-1], t) if (ok := pairs.get(prior << 32 | x)) is None else ok)):
+                    break
+            size -= 1
+        if size:
+            out.append(t)
+            held.append((x, size))
+            at, prior = end, x
+            size = min(n - at, reach(text[at : at + 4], 3))
+        else:
+            failed.add(at)
+            out.pop()
+            size = held.pop()[1]
+            at -= size
+            size -= 1
+            prior = held[-1][0] if held else -1
+    return out
 
 
 class Decoder:
@@ -252,8 +273,8 @@ class WordBpe:
         self._words = regex.compile(next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self._byte = byte_symbols()
         self._back = {s: b for b, s in enumerate(self._byte)}
-        self._cache: dict[str, Made] = {}
-        self._known: dict[str, Made] = {}
+        self._known: dict[str, Made] = {}  # words since it was last full
+        self._older: dict[str, Made] = {}  # those before
         self._spec, self._lib = spec, None
         self._plain = self._whole_characters()
 
@@ -272,10 +293,9 @@ class WordBpe:
                 yield out
         yield t.finish()
 
-    def _symbols(self, chunk: str) -> list[str]:
-        """The words of a chunk as byte symbols."""
-        byte = self._byte
-        return [w if w.isascii() and w.isprintable() else "".join([byte[b] for b in w.encode("utf-8", "surrogatepass")]) for w in self._words.findall(chunk)]
+    def _symbols(self, w: str) -> str:
+        """A word as byte symbols."""
+        return w if w.isascii() and w.isprintable() else "".join([self._byte[b] for b in w.encode("utf-8", "surrogatepass")])
 
     def _library(self):
         if self._lib is None:
@@ -284,14 +304,20 @@ class WordBpe:
             self._lib = Tokenizer.from_str(self._spec)
         return self._lib
 
-    def _word_made(self, symbols: str) -> Made:
-        if (got := self._known.get(symbols)) is None:
-            ids = self.word(symbols)
-            got = " ".join(map(str, ids)), len(ids), self.decode(ids), self.text(ids)
-            if len(symbols) <= LONGEST_CACHED:
+    def _word_made(self, w: str) -> Made:
+        """Ids, their number, the tokens joined by spaces and the word itself, of a word to be held whole."""
+        if (got := self._known.get(w)) is None:
+            if (got := self._older.get(w)) is None:
+                if len(symbols := self._symbols(w)) > self.merges.lookahead:
+                    parts = [m for m in self._streamed(symbols) if m[1]]
+                    return " ".join([m[0] for m in parts]), sum(m[1] for m in parts), " ".join([m[2] for m in parts]), "".join([m[3] for m in parts])
+                tokens = at_once(self.merges, symbols)
+                ids = [self.merges.vocab[t] for t in tokens]
+                got = " ".join(map(str, ids)), len(ids), " ".join(tokens), self.text(ids)
+            if len(w) <= LONGEST_CACHED:
                 if len(self._known) >= CACHED:
-                    self._known.clear()
-                self._known[symbols] = got
+                    self._known, self._older = {}, self._known
+                self._known[w] = got
         return got
 
     def _streamed(self, symbols: str) -> Iterator[Made]:
@@ -304,25 +330,14 @@ class WordBpe:
 
     def _words_made(self, words: Iterable[str]) -> Iterator[Made]:
         for w in words:
-            if len(w) > self.merges.lookahead:
-                yield from self._streamed(w)
+            if len(w) > LONGEST_CACHED and len(symbols := self._symbols(w)) > self.merges.lookahead:
+                yield from self._streamed(symbols)
             else:
                 yield self._word_made(w)
 
-    def chunk(self, chunk: str) -> Made:
-        """Ids, their number, the tokens joined by spaces and the words themselves of a short chunk without white space."""
-        if (got := self._cache.get(chunk)) is None:
-            parts = [m for m in self._words_made(self._symbols(chunk)) if m[1]]
-            got = parts[0] if len(parts) == 1 else (" ".join([m[0] for m in parts]), sum(m[1] for m in parts), " ".join([m[2] for m in parts]), "".join([m[3] for m in parts]))
-            if len(self._cache) >= CACHED:
-                self._cache.clear()
-            self._cache[chunk] = got
-        return got
-
     def _parts(self, text: str) -> Iterator[list[Made]]:
         """What the text's words give, in order and in lists of bounded size; special tokens come as themselves."""
         parts = self._special.split(text) if self._special and any(s in text for s in self.special) else [text]
-        cache = self._cache.get
         for nth, part in enumerate(parts):
             if nth % 2:
                 yield [(str(self.special[part]), 1, part, part)]
@@ -330,30 +345,26 @@ class WordBpe:
             if not part.isascii():
                 if _HIGH.search(part) and _unassigned().search(part):  # characters newer than Python's tables: the library tells the words
                     lib = self._library()
-                    yield from ([m] for m in self._words_made(w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))))
+                    yield from ([m] for m in self._words_made(bytes([self._back[c] for c in w]).decode() for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))))
                     continue
                 part = unicodedata.normalize("NFC", part)
                 if "Σ" in part:
                     part = part.replace("Σ", "σ")  # no final form: characters are lowered one by one
             part, at = part.lower(), 0
-            odd = any(c in part for c in "\x1c\x1d\x1e\x1f")
             while at < len(part):
-                # a window of whole chunks
+                # a window of whole words
                 stop = at + WINDOW
                 if stop < len(part):
                     cut = _SPACE.search(part, stop)
                     stop = cut.start() if cut else len(part)
                 window = part[at:stop]
                 at = stop
-                chunks = _SPACES.split(window) if odd else window.split()
+                words = self._words.findall(window)
                 if len(window) <= 2 * WINDOW:
-                    yield [cache(c) or self.chunk(c) for c in chunks]
+                    known = self._known.get
+                    yield [known(w) or self._word_made(w) for w in words]
                 else:
-                    for c in chunks:
-                        if len(c) <= LONGEST_CACHED:
-                            yield [self.chunk(c)]
-                        else:
-                            yield from ([m] for m in self._words_made(self._symbols(c)))
+                    yield from ([m] for m in self._words_made(words))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for made in self._parts(text) for ids, n, *_ in made if n for i in ids.split(" ")]
@@ -395,10 +406,15 @@ class WordBpe:
         """Number of ids, digests of the ids joined by spaces, of the decoded text, and of the words that the byte-to-text decoder gives back."""
         n, digests = 0, [hashlib.sha256() for _ in range(3)]
         for made in self._parts(text):
-            size = sum([m[1] for m in made])
-            for k, d, gap in ((0, digests[0], " "), (2, digests[1], " "), (3, digests[2], "")):
-                part = gap.join([m[k] for m in made if m[1]] if k < 3 else [m[k] for m in made])
-                d.update((gap + part if n and size else part).encode())
+            if not made:
+                continue
+            ids, sizes, decoded, words = zip(*made, strict=True)
+            size = sum(sizes)
+            if 0 in sizes:
+                ids, decoded = ([x for x, k in zip(part, sizes, strict=True) if k] for part in (ids, decoded))
+            for part, d, gap in ((ids, digests[0], " "), (decoded, digests[1], " "), (words, digests[2], "")):
+                whole = gap.join(part)
+                d.update((gap + whole if n and size else whole).encode())
             n += size
         return n, *(d.hexdigest() for d in digests)
 
