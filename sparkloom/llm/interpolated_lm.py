@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
-from .store import partitions, saved
+from .packing import mix, pack, pack_planes, pack_sorted, unpack, unpack_planes, unpack_sorted
+from .store import partitions, released, saved
 
 CHUNK_CHARS, PAIR_BITS, BUCKETS, GRID = 6_000_000, 48, 24, 4
 CHUNK = "chunk bigint, doc_ids array<bigint>, train array<boolean>, lens array<bigint>, words binary, tokens binary"
@@ -34,7 +34,7 @@ END = np.uint64(xxhash.xxh64_intdigest(b""))
 
 
 def chunks(docs: DataFrame, train: Column) -> DataFrame:
-    """Documents as rows of many: token numbers within the chunk, and the hash of each number's word. Number 0 is the end."""
+    """Documents as rows of many: token numbers within the chunk, and the hash of each number's word. Number 0 is the end, frequent words have low numbers."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,12 @@ def chunks(docs: DataFrame, train: Column) -> DataFrame:
             nonlocal held, local, tokens, size, nth
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64)
             all_ = np.concatenate(tokens)
-            out = pa.record_batch([pa.array([part + nth], pa.int64()), pa.array([held[0]], pa.list_(pa.int64())), pa.array([held[1]], pa.list_(pa.bool_())), pa.array([held[2]], pa.list_(pa.int64())), pa.array([pack(hashes)], pa.binary()), pa.array([pack(all_)], pa.binary())], names=["chunk", "doc_ids", "train", "lens", "words", "tokens"])
+            order = np.argsort(-np.bincount(all_, minlength=len(hashes))[1:], kind="stable") + 1
+            order = np.concatenate([np.zeros(1, np.int64), order])
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            hashes, all_ = hashes[order], number[all_]
+            out = pa.record_batch([pa.array([part + nth], pa.int64()), pa.array([held[0]], pa.list_(pa.int64())), pa.array([held[1]], pa.list_(pa.bool_())), pa.array([held[2]], pa.list_(pa.int64())), pa.array([pack(hashes)], pa.binary()), pa.array([pack_planes(all_)], pa.binary())], names=["chunk", "doc_ids", "train", "lens", "words", "tokens"])
             held, local, tokens, size, nth = [[], [], []], {b"": 0}, [], 0, nth + 1
             return out
 
@@ -72,18 +77,20 @@ def chunks(docs: DataFrame, train: Column) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's tokens, its bigrams (sorted distinct pairs of numbers, and each token's place among them) and their hashes."""
+    """A chunk's tokens, its bigrams (sorted distinct pairs of numbers, and each token's place among them) and, with its words, their hashes."""
 
-    def __init__(self, words: bytes, tokens: bytes, lens, train):
-        self.words, self.tokens = unpack(words), unpack(tokens).astype(np.int64)
+    def __init__(self, tokens: bytes, lens, train, words: bytes | None = None):
+        self.tokens = unpack_planes(tokens).astype(np.int64)
         self.lens = np.array(lens, np.int64)
         self.train = np.repeat(np.array(train, bool), self.lens)
         before = np.zeros_like(self.tokens)
         before[1:] = self.tokens[:-1]  # every document ends with 0, so the first word's context is 0
         self.before = before
         pairs, self.pair = np.unique(before << 32 | self.tokens, return_inverse=True)
-        h = mix(self.words[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[pairs & 0xFFFFFFFF])
-        self.pair_keys = h >> np.uint64(64 - PAIR_BITS)
+        if words is not None:
+            self.words = unpack(words)
+            h = mix(self.words[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[pairs & 0xFFFFFFFF])
+            self.pair_keys = h >> np.uint64(64 - PAIR_BITS)
 
     def keys(self) -> list[tuple[str, np.ndarray, np.ndarray]]:
         """Kind, hash and training count of each distinct word and bigram."""
@@ -105,14 +112,14 @@ def corpus_counts(table: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 out: list[list] = [[], [], [], [], []]
-                for kind, keys, count in Chunk(r["words"], r["tokens"], r["lens"], r["train"]).keys():
+                for kind, keys, count in Chunk(r["tokens"], r["lens"], r["train"], r["words"]).keys():
                     order = np.argsort(keys, kind="stable")
                     keys, count = keys[order], count[order]
                     at = np.searchsorted(_bucket_of(kind, keys, n), np.arange(n + 1))
                     for k in range(n):
                         if at[k] < at[k + 1]:
                             s = slice(at[k], at[k + 1])
-                            for column, v in zip(out, (kind, k, r["chunk"], pack_sorted(keys[s]), pack(count[s].astype(np.uint32))), strict=True):
+                            for column, v in zip(out, (kind, k, r["chunk"], pack_sorted(keys[s]), pack_planes(count[s].astype(np.uint32))), strict=True):
                                 column.append(v)
                 yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["kind", "bucket", "chunk", "keys", "counts"])
 
@@ -121,11 +128,11 @@ def corpus_counts(table: DataFrame) -> DataFrame:
         whole = np.concatenate(keys)
         distinct, back = np.unique(whole, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, back, np.concatenate([unpack(c) for c in group["counts"]]).astype(np.int64))
+        np.add.at(total, back, np.concatenate([unpack_planes(c) for c in group["counts"]]).astype(np.int64))
         mine, at = total[back], np.cumsum([0, *map(len, keys)])
         out = group[["chunk", "kind", "bucket"]].copy()
-        out["counts"] = [pack(mine[a:b].astype(np.uint32) if total.max() < 1 << 32 else mine[a:b]) for a, b in zip(at, at[1:], strict=False)]
-        stat = pd.DataFrame({"chunk": [-1], "kind": [group["kind"].iat[0]], "bucket": [group["bucket"].iat[0]], "counts": [pack(np.array([total.sum(), (total > 0).sum()], np.int64))]})
+        out["counts"] = [pack_planes(mine[a:b].astype(np.uint32) if total.max() < 1 << 32 else mine[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        stat = pd.DataFrame({"chunk": [-1], "kind": [group["kind"].iat[0]], "bucket": [group["bucket"].iat[0]], "counts": [pack_planes(np.array([total.sum(), (total > 0).sum()], np.int64))]})
         return pd.concat([out, stat])
 
     sent = table.mapInArrow(send, "kind string, bucket int, chunk bigint, keys binary, counts binary")
@@ -133,20 +140,20 @@ def corpus_counts(table: DataFrame) -> DataFrame:
 
 
 def counted(table: DataFrame, counts: DataFrame) -> DataFrame:
-    """The chunks with the corpus counts of their words and bigrams, in the chunk's own order."""
-    schema = StructType([*table.schema.fields]).add("word_counts", "binary").add("pair_counts", "binary")
+    """The chunks with the corpus counts of their words and bigrams, in the chunk's own order, which need the words' hashes no more."""
+    schema = StructType([f for f in table.schema.fields if f.name != "words"]).add("word_counts", "binary").add("pair_counts", "binary")
 
     def meet(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame({f.name: [] for f in schema})
-        out = mine.copy()
+        out = mine.drop(columns="words")
         r = mine.iloc[0]
-        for (kind, keys, _), column in zip(Chunk(r["words"], r["tokens"], r["lens"], r["train"]).keys(), ("word_counts", "pair_counts"), strict=True):
+        for (kind, keys, _), column in zip(Chunk(r["tokens"], r["lens"], r["train"], r["words"]).keys(), ("word_counts", "pair_counts"), strict=True):
             part = got[got["kind"] == kind].sort_values("bucket")
             order = np.argsort(keys, kind="stable")
             total = np.zeros(len(keys), np.int64)
-            total[order] = np.concatenate([unpack(c) for c in part["counts"]]).astype(np.int64)
-            out[column] = [pack(total)]
+            total[order] = np.concatenate([unpack_planes(c) for c in part["counts"]]).astype(np.int64)
+            out[column] = [pack_planes(total)]
         return out
 
     return saved(table.groupBy("chunk").cogroup(counts.where("chunk >= 0").groupBy("chunk")).applyInPandas(meet, schema), "counted", **{"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
@@ -158,8 +165,8 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 def _evidence(r: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: count of its context, of the bigram, of the word."""
-    c = Chunk(r["words"], r["tokens"], r["lens"], r["train"])
-    one, two = unpack(r["word_counts"]), unpack(r["pair_counts"])
+    c = Chunk(r["tokens"], r["lens"], r["train"])
+    one, two = unpack_planes(r["word_counts"]), unpack_planes(r["pair_counts"])
     return c, one[c.before], two[c.pair], one[c.tokens]
 
 
@@ -207,7 +214,8 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     table = chunks(docs, train)
     counts = saved(corpus_counts(table), "counts")
     stats = counts.where("chunk = -1 and kind = 'w'").select("counts").collect()  # one row for each bucket
-    n, v = (sum(int(x) for x in col) for col in zip(*(unpack(r[0]) for r in stats), strict=True)) if stats else (0, 0)
+    n, v = (sum(int(x) for x in col) for col in zip(*(unpack_planes(r[0]) for r in stats), strict=True)) if stats else (0, 0)
+    released(docs.sparkSession)  # the counts' exchange is not kept beside the next
     known = counted(table, counts)
     weights = learn_weights(histogram(known, n), v)
 

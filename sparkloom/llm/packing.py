@@ -14,6 +14,17 @@ def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b[4:]), np.dtype(b[:4].strip().decode()))
 
 
+def pack_planes(a: np.ndarray) -> bytes:
+    """Numbers of which most are small: all their lowest bytes first, and so on."""
+    return a.dtype.str.encode().ljust(4) + zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def unpack_planes(b: bytes) -> np.ndarray:
+    kind = np.dtype(b[:4].strip().decode())
+    planes = np.frombuffer(zstandard.decompress(b[4:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending uint64 keys as differences."""
     d = np.diff(keys, prepend=np.uint64(0))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 import tracemalloc
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm import bpe_stream
+from sparkloom.llm import bpe_stream, interpolated_lm, packing
 
 
 @cache
@@ -73,3 +76,29 @@ def test_bpe_words_from_the_library(text):
     """Characters newer than Python's tables, beside words of several bytes a character."""
     w, lib = bpe_stream.WordBpe(spec()), Tokenizer.from_str(spec())
     assert w.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_lm_keeps_no_hashes_twice(spark, monkeypatch):
+    """Chunks with their counts take no more than chunks alone, as the words' hashes are left out; frequent words have short numbers."""
+    sizes, tables, saved = {}, {}, interpolated_lm.saved
+
+    def measured(df, name, **options):
+        tables[name] = saved(df, name, **options)
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in tables[name].inputFiles())
+        return tables[name]
+
+    monkeypatch.setattr(interpolated_lm, "saved", measured)
+    some = words(60000)
+    docs = spark.createDataFrame([(i, " ".join(["x", "of", *some[100 * i : 100 * i + 100], "of"])) for i in range(600)], "doc_id bigint, text string").coalesce(1)
+    got = interpolated_lm.scored(docs, F.col("doc_id") % 5 != 1).agg(F.sum("n_tokens")).first()[0]
+    assert got == 600 * 104
+    assert sizes["counted"] < sizes["chunks"] and "words" not in tables["counted"].columns
+    r = tables["chunks"].first()
+    assert sorted(interpolated_lm.Chunk(r.tokens, r.lens, r.train).tokens)[: 600 * 3] == [0] * 600 + [1] * 1200
+
+
+@pytest.mark.parametrize("kind", ["uint32", "int64", "uint64"])
+def test_planes(kind):
+    for a in ([], [5], [0, 2**31, 3, 1, 2**32 - 1]):
+        a = np.array(a, kind)
+        assert (packing.unpack_planes(packing.pack_planes(a)) == a).all() and packing.unpack_planes(packing.pack_planes(a)).dtype == a.dtype
