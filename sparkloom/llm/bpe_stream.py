@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import bounded_batches, worker_state
+from .store import bounded_batches, trimmed, worker_state
 
 _HIGH = re.compile("[\u0378-\U0010ffff]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]")
@@ -438,15 +438,16 @@ def round_trip(docs: DataFrame, tokenizer_path: str, *keep: Column) -> DataFrame
         spec = f.read()
     key = hashlib.sha256(spec.encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "4m")
     keep = keep or (F.col("doc_id"),)
     rows = docs.select(F.col("text").alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = worker_state(key, lambda: WordBpe(shared.value))
         for b in batches:
-            got = [t.digest(x or "") for x in b.column(0).to_pylist()]
+            got = [t.digest(x.as_py() or "") for x in b.column(0)]  # one text at a time
             yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.string()) for k in (1, 2, 3))], names=[*b.schema.names[1:], "n_tokens", *digests])
+        trimmed()
 
     digests = ("ids_sha256", "decoded_sha256", "text_sha256")
     schema = StructType([*rows.schema.fields[1:]]).add("n_tokens", "long")
