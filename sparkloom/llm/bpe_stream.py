@@ -30,7 +30,7 @@ from .store import bounded_batches, trimmed, worker_state
 
 _HIGH = re.compile("[\u0378-\U0010ffff]")
 _SPACE = re.compile(r"[^\S\x1c-\x1f]")
-STRIDE, CACHED, PAIRS, LONGEST_CACHED, WINDOW = 64, 3 << 16, 1 << 18, 96, 1 << 16
+STRIDE, CACHED, PAIRS, LONGEST_CACHED, WINDOW = 64, 3 << 15, 1 << 18, 96, 1 << 16
 Made = tuple[str, int, str, str]
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, worker_state
+from .store import bounded_batches, trimmed, worker_state
 
-BLOCK, LANES, CELLS, AT_ONCE = 512, 8192, 1 << 23, 1 << 21
+BLOCK, LANES, CELLS, AT_ONCE = 512, 2048, 1 << 23, 1 << 20
 UNKNOWN, GAP = 0, 1
 
 
@@ -79,8 +80,10 @@ class Flat:
         table = np.full((size, width), -1, np.int32)
         table[states, symbols] = to
         ended = table < 0
-        flat = np.where(ended, np.maximum(table[0], 0), table) * width * 2 + ended
-        self.table = flat.astype(np.int32).ravel()
+        np.copyto(table, np.maximum(table[0], 0), where=ended)
+        table *= 2 * width
+        table += ended
+        self.table = table.ravel()
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = self.table[state + symbol]
@@ -123,41 +126,69 @@ class Hashed:
         return np.where(hit, self.to[slot], self.root[symbol]), ~hit
 
 
+class Learned(NamedTuple):
+    """What the automata come to, a few bytes a move: the samples' letters, and for each language its own codes, the moves (state, code, next state), the states and the sample's codes."""
+
+    letters: np.ndarray
+    langs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]
+
+
+def _codes_of(letters: np.ndarray) -> np.ndarray:
+    by_letter = np.zeros(0x110000, np.int32)
+    by_letter[letters] = np.arange(2, len(letters) + 2)
+    return np.where(_folded() < 0, GAP, by_letter[_folded()]).astype(np.int32)
+
+
+def _coded(code: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts, one after another, and their number in each; every run of characters that are no letters is one gap."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = code[points]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    keep[starts] = True
+    total = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.cumsum(sizes)
+    return codes[keep], total[ends] - total[ends - sizes]
+
+
+def learned(samples: dict[str, list[str]]) -> Learned:
+    """One automaton at a time is built and written down as its moves; its states are many times larger, so this is done once and not in every worker."""
+    fold = _folded()
+    letters = np.array(sorted({int(fold[ord(c)]) for texts in samples.values() for t in texts for c in set(t)} - {-1}), np.int32)
+    code, langs = _codes_of(letters), {}
+    for lang in sorted(k for k, v in samples.items() if any(v)):
+        codes = [c for t in samples[lang] for c in [*_coded(code, [t])[0].tolist(), UNKNOWN]]
+        nxt = suffix_automaton([c if c != UNKNOWN else -1 - i for i, c in enumerate(codes)])
+        own = np.array(sorted(set(codes) - {UNKNOWN, GAP}), np.int32)
+        sizes = np.fromiter((sum(c > 0 for c in moves) for moves in nxt), np.int32, len(nxt))
+        total = int(sizes.sum())
+        found = np.fromiter((c for moves in nxt for c in moves if c > 0), np.int32, total)
+        to = np.fromiter((t for moves in nxt for c, t in moves.items() if c > 0), np.int32, total)
+        langs[lang] = own, np.repeat(np.arange(len(nxt), dtype=np.int32), sizes), found, to, len(nxt), len(codes)
+        del nxt
+    return Learned(letters, langs)
+
+
 class CrossParser:
     """A code for each letter of the samples; per language the symbols of its own letters, and the moves of its automaton."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        fold = _folded()
-        letters = sorted({int(fold[ord(c)]) for texts in samples.values() for t in texts for c in set(t)} - {-1})
-        by_letter = np.zeros(0x110000, np.int32)
-        by_letter[letters] = np.arange(2, len(letters) + 2)
-        self.code = np.where(fold < 0, GAP, by_letter[fold]).astype(np.int32)
-        self.langs = sorted(k for k, v in samples.items() if any(v))
+    def __init__(self, samples: dict[str, list[str]] | Learned):
+        known = samples if isinstance(samples, Learned) else learned(samples)
+        self.code = _codes_of(known.letters)
+        self.langs = list(known.langs)
         self.symbols, self.tables, self.bits = [], [], []
-        for lang in self.langs:
-            codes = [c for t in samples[lang] for c in [*self.codes([t])[0].tolist(), UNKNOWN]]
-            nxt = suffix_automaton([c if c != UNKNOWN else -1 - i for i, c in enumerate(codes)])
-            own = sorted(set(codes) - {UNKNOWN, GAP})
-            symbol = np.zeros(len(letters) + 2, np.int32)
-            symbol[[GAP, *own]] = np.arange(1, len(own) + 2)
-            states, found, to = np.array([(s, c, t) for s, moves in enumerate(nxt) for c, t in moves.items() if c > 0], np.int64).reshape(-1, 3).T
-            kind = Flat if len(nxt) * (len(own) + 2) <= CELLS else Hashed
+        for own, states, found, to, size, codes in known.langs.values():
+            symbol = np.zeros(len(known.letters) + 2, np.int32)
+            symbol[[GAP, *own.tolist()]] = np.arange(1, len(own) + 2)
+            kind = Flat if size * (len(own) + 2) <= CELLS else Hashed
             self.symbols.append(symbol)
-            self.tables.append(kind(states, symbol[found], to, len(nxt), len(own) + 2))
-            self.bits.append(np.log2(max(2, len(codes))))
+            self.tables.append(kind(states, symbol[found], to, size, len(own) + 2))
+            self.bits.append(np.log2(max(2, codes)))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, one after another, and their number in each; every run of characters that are no letters is one gap."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[points]
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        keep[starts] = True
-        total = np.concatenate([[0], np.cumsum(keep)])
-        ends = np.cumsum(sizes)
-        return codes[keep], total[ends] - total[ends - sizes]
+        return _coded(self.code, texts)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text in each language, and its number of codes: whole texts, BLOCK codes to a lane."""
@@ -228,11 +259,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], *keep: Column) -> DataFrame:
-    """The rows of docs: columns `keep` (doc_id if none), lang_pred, score. Workers build the automata from the broadcast sample."""
+    """The rows of docs: columns `keep` (doc_id if none), lang_pred, score. The driver learns from the sample; workers get the automata's moves."""
     import hashlib
 
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(learned(samples))
     bounded_batches(docs.sparkSession)
     keep = keep or (F.col("doc_id"),)
     rows = docs.select(F.col("text").alias("__text"), *keep)
@@ -243,6 +274,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], *keep: Column) -> D
             for b in _slices(whole):
                 got = parser.predict(b.column(0).to_pylist())
                 yield pa.record_batch([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
+        trimmed()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
