@@ -273,16 +273,19 @@ def _decoded(blocks: list[bytes]) -> np.ndarray:
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level BPE).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same where all characters are of `_LATIN`, and spaces only before words; Latin-1's letters are in all tables alike.
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ][\n!-~À-ÖØ-öø-ÿ]*")
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[ \n]+(?![^ \n])|[ \n]+")
 _GAP = re.compile(r"(?<=\S) ")
 _OPEN = r"(^|[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]) "
-CACHED, AT_ONCE = 1_000_000, 8 << 20
+CACHED, AT_ONCE = 600_000, 8 << 20
 
 
 class Units:
     """A byte-level tokenizer that asks the library once for each space-led word: a space after a character that is no space always starts a new word of its pattern.
 
-    A batch's words are told apart by Arrow; their ids are gathered from one flat array. Of a word of Latin letters and signs the library's model gets each piece once;
-    any other word goes to the library whole, as do all where the file does not say plain byte-level BPE.
+    A batch's words are told apart by Arrow; their ids are gathered from one flat array. Of a word of Latin letters and signs the library's model gets each piece once,
+    and all new words of a batch are cut into pieces together; any other word goes to the library whole, as do all where the file does not say plain byte-level BPE.
     """
 
     def __init__(self, spec: str):
@@ -294,6 +297,7 @@ class Units:
         special = [t["content"] for t in j["added_tokens"]]
         pre = j.get("pre_tokenizer") or {}
         level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.special = special
         self.splits = level and not j.get("normalizer") and not any(c.isspace() for s in special for c in s)
         self.plain = self.splits and j["model"]["type"] == "BPE" and not any(j["model"].get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         self.odd = re.compile("|".join(["[\u0370-\U0010ffff]", *map(re.escape, special)]))  # beyond Latin the library's own tables tell letters
@@ -305,10 +309,10 @@ class Units:
         self.unit: dict[str, int] = {}  # space-led words under the word, others under a zero byte and the word
         self.piece: dict[str, list[int]] = {}
         self.size, self.start, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.part: dict[str, int] = {}  # pieces of words cut together, by number
+        self.part_size, self.part_start, self.part_flat = self.size, self.start, self.flat
 
     def _ids(self, key: str) -> list[int]:
-        if key.isalpha() and key.isascii() and self.plain:
-            return [t.id for t in self.model.tokenize(self.blank + key)]
         text = key[1:] if key[:1] == "\0" else " " + key
         if not self.plain or self.odd.search(text):
             return self.lib.encode(text, add_special_tokens=False).ids
@@ -319,21 +323,41 @@ class Units:
             out += got
         return out
 
+    def _cut(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of space-led words of `_LATIN`, cut into pieces together: the space before a word begins a piece."""
+        pieces = _LATIN_PIECES.findall(" " + " ".join(keys))
+        if missing := [p for p in dict.fromkeys(pieces) if p not in self.part]:
+            symbols, tokenize = self.symbols, self.model.tokenize
+            new = [[t.id for t in tokenize(self.blank + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(symbols))] for p in missing]
+            self.part.update(zip(missing, range(len(self.part), len(self.part) + len(new)), strict=True))
+            self.part_size, self.part_start, self.part_flat = _longer(self.part_size, self.part_start, self.part_flat, np.fromiter(map(len, new), np.int32, len(new)), np.fromiter(chain.from_iterable(new), "<u4"))
+        n = np.fromiter(map(self.part.__getitem__, pieces), np.int32, len(pieces))
+        begin = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        words = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) + 1)
+        first = np.concatenate([[0], np.searchsorted(begin, words[:-1]) + 1])
+        size = self.part_size[n]
+        return np.add.reduceat(size, first, dtype=np.int32), _gathered(self.part_flat, self.part_start[n], size)
+
     def _known(self, keys: list[str]) -> np.ndarray:
         """Numbers of units, new ones added."""
         unit = self.unit
         if missing := list(dict.fromkeys(k for k in keys if k not in unit)):
+            latin = [k for k in missing if _LATIN.fullmatch(k)] if self.plain else []
+            all_latin = "\0".join(latin)
+            if latin and not any(x in all_latin for x in self.special):
+                self._add(latin, *self._cut(latin))
+                missing = [k for k in missing if k not in unit]
             new = list(map(self._ids, missing))
-            unit.update(zip(missing, range(len(unit), len(unit) + len(new)), strict=True))
-            size = np.fromiter(map(len, new), np.int32, len(new))
-            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), "<u4", int(size.sum()))])
+            self._add(missing, np.fromiter(map(len, new), np.int32, len(new)), np.fromiter(chain.from_iterable(new), "<u4"))
         return np.fromiter(map(unit.__getitem__, keys), np.int32, len(keys))
 
+    def _add(self, keys: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.unit.update(zip(keys, range(len(self.unit), len(self.unit) + len(keys)), strict=True))
+        self.size, self.start, self.flat = _longer(self.size, self.start, self.flat, size, ids)
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and their number in each."""
-        if len(self.unit) > CACHED:
+        if max(len(self.unit), len(self.part)) > CACHED:
             self.reset()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _OPEN).to_numpy(zero_copy_only=False) if self.splits else np.ones(len(texts), bool)
@@ -362,6 +386,11 @@ class Units:
         return np.concatenate([x for p in parts for x in (p, end)]), np.array([len(p) + 1 for p in parts], np.int64)
 
 
+def _longer(size: np.ndarray, start: np.ndarray, flat: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, starts and values of ragged rows, with further rows."""
+    return np.concatenate([size, more]), np.concatenate([start, (len(flat) + np.cumsum(more) - more).astype(np.int32)]), np.concatenate([flat, ids])
+
+
 def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size, dtype=np.int32)  # a batch has under 2^31 ids
     at = np.repeat(start - ends + size, size)
