@@ -9,10 +9,12 @@ block, so each can be read alone.
 Model. Order 2 (the two ids before) and order 1 (the id before) each predict one id, with a confidence; both and order 0 are mixed by weights
 that adapt for each pair of confidences. Order 0 is the share of each id in the block so far, counted anew whenever the block has doubled; a part of
 its range, as large as the share of new ids lately, is for ids not met before. One coding step an id: the flag of the mix and order 0's place together.
-All blocks of a group advance together, one numpy lane each, by integer arithmetic only, so that encoder and decoder agree on every machine.
+All is integer arithmetic, so that encoder and decoder agree on every machine. `LaneCoder.java` codes the files of `write_ids` and `read_ids` in the executors' JVMs,
+block by block; `encode_blocks` and `decode_blocks` do the same without Spark, all blocks of a group together, one numpy lane each, and give the same bytes.
 
 Null texts have only the end id; an empty table gives no file rows. Repeated doc_ids are kept, in (doc_id, text) order. Ids may have any 32-bit size. A
-document longer than a segment has a segment of its own, of which LANES blocks at a time are coded; other columns of the table are not read.
+document longer than a segment has a segment of its own; one of more than SENT_IDS is coded by the numpy lanes, LANES blocks at a time, as
+its ids would take too much of the JVM's heap. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jvm
 from .bpe_stream import byte_symbols
 from .store import bounded_batches, partitions, saved, worker_state
 
 BLOCK, LANES, END_ID = 4096, 1536, 2
+SEGMENT_BLOCKS, SENT_IDS = 256, 16 << 20  # ids of a segment sent to the JVM as one value; a longer one is coded where it is
 _HEAD = struct.Struct("<4sIII")
 _TABLE_BITS, _FIRST, _SLICE, _GROUP = 11, 64, 256, 8
 _LEAST, _WIDE = 1 << 40, (1 << 56) - 1  # the coder's range stays between them; 16 bits leave it at a time
@@ -411,8 +415,8 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 SEGMENT = "file_no int, seg_no int, first bigint, doc_ids array<bigint>, lens array<bigint>, blocks array<binary>"
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lanes: int = LANES, block: int = BLOCK) -> DataFrame:
-    """Encodes all texts in ascending doc_id order into files under the shared folder; the DataFrame reads them (`SEGMENT`)."""
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lanes: int = SEGMENT_BLOCKS, block: int = BLOCK, most_sent: int = SENT_IDS) -> DataFrame:
+    """Encodes all texts in ascending doc_id order into files under the shared folder, `lanes` blocks a segment; the DataFrame reads them (`SEGMENT`)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
@@ -430,8 +434,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lanes:
 
         def segment():
             nonlocal ids, lens, data, held, seg, first
-            blocks = encode_blocks(np.concatenate(data), block, lanes)
-            out = pa.record_batch([pa.array([file_no], pa.int32()), pa.array([seg], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))], names=["file_no", "seg_no", "first", "doc_ids", "lens", "blocks"])
+            here = held > most_sent
+            all_ids = np.concatenate(data).astype("<u4", copy=False)
+            blocks = encode_blocks(all_ids, block) if here else None
+            sent = None if here else all_ids.tobytes()
+            out = pa.record_batch([pa.array([file_no], pa.int32()), pa.array([seg], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary())), pa.array([sent], pa.binary())], names=["file_no", "seg_no", "first", "doc_ids", "lens", "blocks", "ids"])
             seg, first, ids, lens, data, held = seg + 1, first + held, [], [], [], 0
             return out
 
@@ -450,25 +457,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lanes:
         if ids:
             yield segment()
 
-    return saved(rows.mapInArrow(run, SEGMENT), "ids", **{"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+    encode = jvm.function(docs.sparkSession, "LaneCoder", "Encode", "array<binary>")
+    coded = rows.mapInArrow(run, f"{SEGMENT}, ids binary").withColumn("blocks", F.when(F.col("ids").isNull(), F.col("blocks")).otherwise(encode(F.col("ids"), F.lit(block)))).drop("ids")
+    return saved(coded, "ids", **{"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
 
 
 def read_ids(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 from the files."""
-    sizes = files.groupBy("file_no").agg(F.max(F.col("first") + F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).collect()
-    start, base = 0, {}
-    for r in sorted(sizes, key=lambda r: r["file_no"]):  # one row for each file
-        base[r["file_no"]] = start
-        start += r["n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids = decode_blocks(row["blocks"])
-                lens = np.array(row["lens"], np.int64)
-                ends = np.cumsum(lens)
-                raw = ids.tobytes()
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lens + row["first"] + base[row["file_no"]], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 from the files; a damaged block raises."""
+    sizes = {r["file_no"]: r["n"] for r in files.groupBy("file_no").agg(F.max(F.col("first") + F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).collect()}  # one row for each file
+    base = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    bases = F.split(F.lit(",".join(map(str, base))), ",").cast("array<bigint>")  # by file_no
+    decode = jvm.function(files.sparkSession, "LaneCoder", "Decode", "array<struct<doc_id: bigint, start: bigint, n_tokens: bigint, ids_crc32: bigint>>")
+    return files.select(F.inline(decode("blocks", "doc_ids", "lens", F.col("first") + bases[F.col("file_no")])))
